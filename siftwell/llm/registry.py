@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["op1_quality", "op2_secrets", "op3_decontamination", "op4_sharding", "op5_tokenfile", "op6_mixing", "op8_tokencount"]
+MODULES = ["op1_quality", "op2_secrets", "op3_decontamination", "op4_sharding", "op5_tokenfile", "op6_mixing", "op7_html", "op8_tokencount"]
 
 
 def _all(kind: str) -> dict:
