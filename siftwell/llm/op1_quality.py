@@ -132,8 +132,8 @@ QUERIES = {"op1_quality_ledger": op1_quality_ledger}
 
 MEASURE_SQL = r"""
   d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
-  w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-               list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+  w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
   g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c
         FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
   p AS (SELECT rid, least(3, i - lag(i, 1, -3) OVER (PARTITION BY rid ORDER BY i)) AS new FROM g WHERE c > 1),
@@ -142,7 +142,7 @@ MEASURE_SQL = r"""
                (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-               len(list_filter(w, x -> regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$')))::BIGINT AS n_upper_words,
+               len(list_filter(w, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$')))::BIGINT AS n_upper_words,
                len(list_distinct(w))::BIGINT AS n_distinct_words FROM w LEFT JOIN r USING (rid)),
   f AS (SELECT *, ({bits})::BIGINT AS bits FROM m)
 """

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["op1_quality", "op2_secrets", "op3_decontamination", "op4_sharding", "op5_tokenfile", "op6_mixing", "op7_html", "op8_tokencount"]
+MODULES = ["op1_quality", "op2_secrets", "op3_decontamination", "op4_sharding", "op5_tokenfile", "op6_mixing", "op7_html", "op8_tokencount", "op9_substrings", "op10_jaccard"]
 
 
 def _all(kind: str) -> dict:
