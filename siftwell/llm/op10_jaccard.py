@@ -43,6 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,9 @@ CROWDING = 3.0
 PIVOT_PAIRS = 2_000
 #: Broadcast bound of the table of documents to verify, in rows (24 bytes each).
 BROADCAST_ROWS = 200_000
+#: Sets of at most so many shingles are always sent whole.
+SMALL = 256
+ROUGH = 0.04
 _STEP = 8 << 20
 
 
@@ -249,18 +253,37 @@ def indexed(docs: DataFrame) -> DataFrame:
     return stored(blobs.repartition(parts, "bucket").mapInArrow(gather, _ROW), "signatures")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``inter`` and ``total`` (sizes of intersection and union) of each pair, on the whole sets.
+def _body(own: np.ndarray, bits: int) -> bytes:
+    """A sorted set's hashes, whole or only their first bits."""
+    if bits == 64:
+        return own.tobytes()
+    gaps = np.diff(own >> np.uint64(64 - bits), prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    Each document's set goes once to each document it is compared with.  A
-    document with many partners is met in several places, each of at most
-    ``PIVOT_PAIRS`` of them, about.
+
+def _opened(body: bytes, bits: int) -> np.ndarray:
+    if bits == 64:
+        return np.frombuffer(body, np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.unique(np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64))
+
+
+def compared(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
+    """``a``, ``b``, ``inter``, ``total`` (sizes of intersection and union) and ``slack`` of each pair.
+
+    Each document's set goes once to each document it is compared with; a
+    document with many partners is met in several places, each of at most about
+    ``PIVOT_PAIRS`` of them.  Unless ``whole``, large sets go as the first bits of
+    their hashes, as many as leave one false match in 16,384 shingles; then
+    ``inter`` may be wrong by up to ``slack``.
     """
     spark = docs.sparkSession
-    many = pairs.groupBy("b").count().select("b", F.ceil(F.col("count") / PIVOT_PAIRS).cast("int").alias("places"))
-    placed = pairs.join(many, "b").select("a", "b", "places", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"))
-    sent = placed.select(F.col("a").alias("doc"), "b", "place").union(many.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place")))
-    goals = stored(sent.groupBy("doc").agg(F.collect_list(F.struct("b", "place")).alias("goals")), "goals")
+    goal_size = sizes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"))
+    bits = F.lit(64) if whole else F.when(F.col("n_b") <= SMALL, F.lit(64)).otherwise(F.ceil(F.log2(F.col("n_b") * DEN / NUM)).cast("int") + 14)
+    many = pairs.groupBy("b").count().join(goal_size, "b").select("b", F.ceil(F.col("count") / PIVOT_PAIRS).cast("int").alias("places"), bits.cast("int").alias("bits"))
+    placed = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"), "bits")
+    sent = placed.select(F.col("a").alias("doc"), "b", "place", "bits").union(many.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "bits"))
+    goals = stored(sent.groupBy("doc").agg(F.collect_list(F.struct("b", "place", "bits")).alias("goals")), "goals")
     wanted = F.broadcast(goals) if goals.count() <= BROADCAST_ROWS else goals
     arrow_ready(spark)
 
@@ -271,38 +294,54 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             to, n = b.column(2), np.diff(b.column(2).offsets.to_numpy())
             flat = to.flatten()
             row = np.repeat(np.arange(len(n)), n)
+            widths = flat.field(2).to_numpy(zero_copy_only=False)
             for a in range(0, len(row), 2_000):
                 part = row[a : a + 2_000]
-                bodies = pa.array([sets[ends[r] - size[r] : ends[r]].tobytes() for r in part.tolist()], pa.binary())
+                bodies = pa.array([_body(sets[ends[r] - size[r] : ends[r]], w) for r, w in zip(part.tolist(), widths[a : a + 2_000].tolist())], pa.binary())
                 goal = flat.slice(a, len(part))
-                yield pa.RecordBatch.from_arrays([goal.field(0), goal.field(1), b.column(0).take(pa.array(part)), bodies], ["b", "place", "a", "body"])
+                yield pa.RecordBatch.from_arrays([goal.field(0), goal.field(1), b.column(0).take(pa.array(part)), goal.field(2), pa.array(size[part], pa.int32()), bodies], ["b", "place", "a", "bits", "n", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goal, base = None, None
+        goal, base, base_n = None, None, 0
         for batch in batches:
             out = []
-            for b, place, a, body in zip(*(c.to_pylist() for c in batch.columns[:4])):
+            for b, place, a, width, n, body in zip(*(c.to_pylist() for c in batch.columns[:6])):
                 if a == b:
-                    if goal != (b, place) or len(body) > len(base) * 8:
-                        goal, base = (b, place), np.frombuffer(body, np.uint64)
+                    if goal != (b, place) or n > base_n:
+                        goal, base, base_n = (b, place), _opened(body, width), n
                     continue
                 if goal != (b, place):
                     continue
-                own = np.frombuffer(body, np.uint64)
-                both = np.concatenate((own, base))
+                both = np.concatenate((_opened(body, width), base))
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
-                out.append((a, b, inter, len(both) - inter))
+                out.append((a, b, inter, base_n + n - inter, 0 if width == 64 else 8 + max(n, base_n) // 500))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "inter", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "inter", "total", "slack"])
 
-    sets = docs.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, "b long, place int, a long, body binary")
+    sets = docs.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, "b long, place int, a long, bits int, n int, body binary")
     dealt = sets.repartition(shuffle_parts(spark), "b", "place").withColumn("first", F.when(F.col("a") == F.col("b"), 0).otherwise(1)).sortWithinPartitions("b", "place", "first")
-    return stored(dealt.mapInArrow(compare, "a long, b long, inter long, total long"), "verified")
+    return stored(dealt.mapInArrow(compare, "a long, b long, inter long, total long, slack long"), "compared")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``linked`` and ``d``, the distance (wrong by less than ``ROUGH``); pairs that the first bits leave open are compared on their whole sets."""
+    rough = compared(docs, pairs, sizes, whole=False)
+
+    def reaches(more: int):
+        inter = F.col("inter") + more * F.col("slack")
+        return inter * DEN >= (F.col("total") - more * F.col("slack")) * NUM
+
+    open_ = reaches(1) & ~reaches(-1)
+    sure = rough.where(~open_)
+    if rough.where(open_).limit(1).count():
+        sure = sure.union(compared(docs, rough.where(open_).select("a", "b"), sizes, whole=True))
+    return sure.select("a", "b", reaches(0).alias("linked"), (1 - F.col("inter") / F.col("total")).alias("d"))
 
 
-def _linked(found: DataFrame) -> DataFrame:
-    return found.where(F.col("inter") * DEN >= F.col("total") * NUM).select("a", "b")
+def _one_each(candidates: DataFrame) -> DataFrame:
+    """For each document its likeliest partner (``a``, ``b``, ``shared``)."""
+    return candidates.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select("a", "b")
 
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,6 +352,7 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     classes = facts.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc").alias("rep"))
     members = stored(facts.join(classes, ["n", "fp_a", "fp_b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     copies = members.where("doc <> rep").select("doc", "rep")
+    sizes = members.select("doc", "n")
 
     groups = index.where("kind = 2").select("sig", "tag", "doc").join(copies, "doc", "left").select("sig", "tag", F.coalesce("rep", "doc").alias("doc")).distinct()
     counts = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc").alias("least"))
@@ -337,35 +377,34 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     # heavy groups: only the members that need them
     crowds = stored(groups.where(F.col("size") > HEAVY).join(crowded, ["doc", "tag"]).select("sig", "doc"), "crowds")
 
-    def with_least(rows: DataFrame, pivot) -> DataFrame:
+    def pivoted(rows: DataFrame, pivot) -> DataFrame:
         best = rows.groupBy("sig").agg(pivot.alias("b"))
-        return rows.join(best, "sig").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+        return _one_each(rows.join(best, "sig").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("shared")))
 
-    nearest = light.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select("a", "b")
-    tried = verified(docs, stored(nearest.union(with_least(crowds, F.min("doc"))).distinct(), "pairs"))
-    rounds = 0
+    pivots = [F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("doc")), F.max_by("doc", F.xxhash64("doc"))]
+    first = _one_each(light.select("a", "b", "shared")).union(pivoted(crowds, pivots[0])).distinct()
+    tried = stored(verified(docs, stored(first, "pairs"), sizes), "tried")
+    step = 1
     while True:
-        labels = components(_linked(tried))
+        labels = components(tried.where("linked").select("a", "b"))
         named = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
         label = lambda name: F.coalesce(f"c_{name}", name)
         done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = light.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
         told = crowds.join(named("doc"), "doc", "left").select("sig", "doc", label("doc").alias("c"))
-        open_ = told.groupBy("sig").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high")
-        told = told.join(open_.select("sig"), "sig")
-        if rounds < 3:  # other pivots: nearly all members of a family come together here
-            pivot = [F.max("doc"), F.min_by("doc", F.xxhash64("doc")), F.max_by("doc", F.xxhash64("doc"))][rounds]
-            next_ = told.join(told.groupBy("sig").agg(pivot.alias("b"), F.min_by("c", F.lit(0)).alias("_")).drop("_"), "sig").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
-        else:
-            next_ = _open_pairs(told, tried)
+        split = told.groupBy("sig").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high").select("sig")
+        told = told.join(split, "sig", "left_semi")
+        # other pivots bring nearly all members of a family together; then what none of them rules out
+        last = step >= len(pivots)
+        next_ = _open_pairs(told, tried) if last else pivoted(told, pivots[step])
         todo = stored(more.union(next_).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if not todo.limit(1).count():
-            if rounds >= 3:
-                break
-            rounds = 3
-            continue
-        tried = stored(tried.union(verified(docs, todo)), "tried")
-        rounds += 1
+        step += 1
+        if todo.limit(1).count():
+            tried = stored(tried.union(verified(docs, todo, sizes)), "tried")
+        elif last:
+            break
+        elif not told.limit(1).count():
+            step = len(pivots)
 
     named = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return named.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
@@ -374,24 +413,26 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
 def _open_pairs(told: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of different components in a heavy group that no pivot rules out.
 
-    With exact distances d to a common pivot, two sets are linked only if these
-    differ by at most 1 - NUM/DEN.  Members far from all the others of their group
-    go out here.
+    With distances d to a common pivot, two sets are linked only if these differ
+    by at most 1 - NUM/DEN (and what the distances may be wrong by).  Members whose
+    distance isn't known are compared in any case.
     """
-    distance = F.lit(1.0) - F.col("inter") / F.col("total")
-    to_pivot = tried.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), distance.alias("d"))
+    to_pivot = tried.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
     low = told.groupBy("sig").agg(F.min("doc").alias("pivot"))
-    rows = told.join(low, "sig").join(to_pivot, ["doc", "pivot"], "left").select("sig", "doc", "c", F.coalesce("d", F.lit(0.0)).alias("d"))
+    rows = told.join(low, "sig").join(to_pivot, ["doc", "pivot"], "left").select("sig", "doc", "c", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
     # one side: members outside their group's largest component
     big = rows.groupBy("sig", "c").count().groupBy("sig").agg(F.max_by("c", "count").alias("main"))
     odd = rows.join(big, "sig").where("c <> main").select("sig", F.col("doc").alias("a"), F.col("c").alias("c_a"), F.col("d").alias("d_a"))
     other = rows.select("sig", F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("d").alias("d_b"))
     # cells of the distance: partners lie in the same cell or the next
-    width = 1.0 - NUM / DEN
+    width = 1.0 - NUM / DEN + 2 * ROUGH
+    top = int(1 / width)
+    every = F.array(*[F.lit(k) for k in range(top + 1)])
     cell = lambda c: F.floor(F.col(c) / width).cast("int")
-    odd = odd.withColumn("cell", F.explode(F.array(cell("d_a") - 1, cell("d_a"), cell("d_a") + 1)))
-    other = other.withColumn("cell", cell("d_b"))
-    near = odd.join(other, ["sig", "cell"]).where((F.col("c_a") != F.col("c_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= width + 1e-9))
+    odd = odd.withColumn("cell", F.explode(F.when(F.col("d_a").isNull(), every).otherwise(F.array(cell("d_a") - 1, cell("d_a"), cell("d_a") + 1))))
+    other = other.withColumn("cell", F.explode(F.when(F.col("d_b").isNull(), every).otherwise(F.array(cell("d_b")))))
+    far = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) > width, F.lit(False))
+    near = odd.join(other, ["sig", "cell"]).where((F.col("c_a") != F.col("c_b")) & ~far)
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -32,6 +32,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder (``spark.checkpoint.dir``); only where none is set, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a scratch table and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # its shuffle files go when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
