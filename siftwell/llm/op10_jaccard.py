@@ -358,7 +358,8 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     counts = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc").alias("least"))
     groups = stored(groups.join(counts.where("size > 1"), "sig"), "groups")
     heavy_of = groups.where(F.col("size") > HEAVY).groupBy("doc", "tag").agg(F.count("*").alias("heavy"))
-    segments = index.where("kind = 1").select("doc", "tag", "n", "usable", "far", "exact").dropDuplicates(["doc", "tag"])
+    signed = index.where("kind = 1").join(copies, "doc", "left").withColumn("doc", F.coalesce("rep", "doc"))
+    segments = signed.select("doc", "tag", "n", "usable", "far", "exact").dropDuplicates(["doc", "tag"])
     # heavy signatures of a band with deletions may be several of one segment: none of its budget is trusted then
     left = F.when(F.col("heavy").isNull(), F.col("usable")).when(F.col("exact"), F.col("usable") - F.col("heavy")).otherwise(F.lit(0))
     segments = stored(segments.join(groups.select("doc").distinct(), "doc", "left_semi").join(heavy_of, ["doc", "tag"], "left").select("doc", "tag", "n", "exact", "far", left.alias("left")), "segments")

@@ -18,6 +18,9 @@ streamed through it.
   ascending order of documents, each passage is streamed through the automaton,
   and windows seen for the first time are added to it: it holds each repeated
   passage once.
+- Passages around seeds that more than ``COMMON`` documents have first run through
+  an automaton of their own batch, so that of a large family of copies each batch
+  sends what is new in it once and not every member.
 - A seed that more than ``HEAVY`` documents have sends single windows, dealt over
   several shards by their hash, so a line that a third of all documents share
   isn't met in one task.
@@ -49,10 +52,13 @@ WINDOW = 13
 #: Words of a seed; WINDOW - SEED + 1 must be a power of two.
 SEED = 6
 #: Documents that may share a seed before its windows are dealt one by one.
-HEAVY = 2_000
+HEAVY = 50_000
+#: Documents that may share a seed before their passages are matched within the batch.
+COMMON = 64
 #: Bounds of what is broadcast instead of shuffled, in rows.
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_ROWS = 200_000
+NO_DOC = 1 << 63
 
 
 class Automaton:
@@ -164,7 +170,7 @@ def seeded(docs: DataFrame) -> DataFrame:
     parts = shuffle_parts(spark)
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen: dict[tuple, int] = {}
         for b in steps(batches):
             doc = b.column(0).to_numpy()
             words = Words(b.column(1))
@@ -177,8 +183,8 @@ def seeded(docs: DataFrame) -> DataFrame:
             buckets, blobs = [int(doc[0]) % parts], [b"F" + sink.getvalue().to_pybytes()]
             new = np.zeros(len(doc), bool)
             for r, key in enumerate(zip(fp[0].tolist(), fp[1].tolist())):
-                if key not in seen:  # a copy of what this task has sown already is settled by its print
-                    seen.add(key)
+                if seen.get(key, NO_DOC) > doc[r]:  # a later copy of what this task has sown already is settled by its print
+                    seen[key] = int(doc[r])
                     new[r] = True
             row = words.rows()[at]
             kept = new[row]
@@ -215,8 +221,33 @@ def seeded(docs: DataFrame) -> DataFrame:
     return stored(blobs.repartition(parts, "bucket").mapInArrow(reap, _ROW), "seeds")
 
 
+def runs(starts: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """First and last of each run of ascending numbers that are at most ``gap`` apart."""
+    if not len(starts):
+        return []
+    breaks = np.flatnonzero(np.diff(starts) > gap)
+    return list(zip(starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist()))
+
+
+def settled(asked: np.ndarray, first: np.ndarray, h: np.ndarray, base: int, key: tuple, local: Automaton, pending: list, out: list) -> np.ndarray:
+    """Which of the asked windows occur in the batch's automaton: they go; the others are to be added to it."""
+    gone = np.zeros(len(asked), bool)
+    for a, e in runs(first[asked], 1):
+        words = h[a : e + WINDOW].tolist()
+        seen = np.array(local.statistics(words, WINDOW)[WINDOW - 1 :]) >= WINDOW
+        gone[np.searchsorted(first, a + np.flatnonzero(seen))] = True
+        for x, y in runs(np.flatnonzero(seen), 1):
+            out.append((key[0], -2, *key, a + x - base, y - x + WINDOW, None))
+        for x, y in runs(np.flatnonzero(~seen), 1):
+            pending.append(words[x : y + WINDOW])
+    return gone
+
+
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``owner``, ``salt``, ``doc``, ``fp_a``, ``fp_b``, ``start`` and ``words`` of each passage around repeated seeds."""
+    """``owner``, ``salt``, ``doc``, ``fp_a``, ``fp_b``, ``start`` and ``words`` of each passage around repeated seeds.
+
+    Rows without words are word ranges (``start``, ``size``) that go already.
+    """
     by_doc = stored(seeds.groupBy("doc").agg(F.collect_list(F.struct("seed", "owner", "docs")).alias("seeds")), "by-doc")
     small = seeds.count() <= BROADCAST_SEEDS
     joined = docs.join(F.broadcast(by_doc) if small else by_doc, "doc").select("doc", "text", "seeds")
@@ -233,7 +264,13 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             own = own.view(np.uint64)
             bounds = np.searchsorted(row, np.arange(len(docs) + 1))
             out: list[tuple] = []
-            for r in range(len(docs)):
+            local, pending, before = Automaton(), [], None
+            for r in np.argsort(docs, kind="stable").tolist():
+                doc, base, key = int(docs[r]), int(words.first[r]), (int(docs[r]), int(fp[0][r]), int(fp[1][r]))
+                if doc != before:
+                    for sequence in pending:
+                        local.add(sequence, doc)
+                    before, pending = doc, []
                 w = slice(bounds[r], bounds[r + 1])
                 mine = slice(lists[r], lists[r + 1])
                 order = np.argsort(own[mine])
@@ -244,22 +281,20 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 hit = known[where] == seed[w]
                 owner, many = of[mine][order][where], docs_with[mine][order][where]
                 first = at[w]
-                base = int(words.first[r])
+                hit &= ~settled(hit & (many > COMMON), first, h, base, key, local, pending, out)
                 light = np.flatnonzero(hit & (many <= HEAVY))
                 for o in np.unique(owner[light]).tolist():
-                    starts = first[light[owner[light] == o]]
-                    breaks = np.flatnonzero(np.diff(starts) > WINDOW)
-                    for a, e in zip(starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist()):
-                        out.append((o, -1, docs[r], fp[0][r], fp[1][r], a - base, h[a : e + WINDOW].tobytes()))
+                    for a, e in runs(first[light[owner[light] == o]], WINDOW):
+                        out.append((o, -1, *key, a - base, None, h[a : e + WINDOW].tobytes()))
                 for k in np.flatnonzero(hit & (many > HEAVY)).tolist():
                     a = int(first[k])
-                    salt = int(gram_hashes(h[a : a + WINDOW], WINDOW)[0] % np.uint64(-(-int(many[k]) // HEAVY)))
-                    out.append((int(owner[k]), salt, docs[r], fp[0][r], fp[1][r], a - base, h[a : a + WINDOW].tobytes()))
+                    salt = int(gram_hashes(h[a : a + WINDOW], WINDOW)[0] % np.uint64(-(-int(many[k]) // HEAVY) * 16))
+                    out.append((int(owner[k]), salt, *key, a - base, None, h[a : a + WINDOW].tobytes()))
             for a in range(0, len(out), 5_000):
                 columns = list(zip(*out[a : a + 5_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])], ["owner", "salt", "doc", "fp_a", "fp_b", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["owner", "salt", "doc", "fp_a", "fp_b", "start", "size", "words"])
 
-    return joined.mapInArrow(cut, "owner long, salt int, doc long, fp_a long, fp_b long, start int, words binary")
+    return joined.mapInArrow(cut, "owner long, salt int, doc long, fp_a long, fp_b long, start int, size int, words binary")
 
 
 def matched(found: DataFrame) -> DataFrame:
@@ -270,7 +305,10 @@ def matched(found: DataFrame) -> DataFrame:
         shard, doc, automaton, pending = None, None, Automaton(), []
         for b in batches:
             out = []
-            for owner, salt, d, fp_a, fp_b, start, body in zip(*(c.to_pylist() for c in b.columns)):
+            for owner, salt, d, fp_a, fp_b, start, size, body in zip(*(c.to_pylist() for c in b.columns)):
+                if body is None:
+                    out.append((d, fp_a, fp_b, start, size))
+                    continue
                 if (owner, salt) != shard:
                     shard, doc, automaton, pending = (owner, salt), d, Automaton(), []
                 elif d != doc:
