@@ -44,9 +44,9 @@ VOCABULARY = 4_096
 #: Labelled documents that must have a feature.
 LEAST_DOCS = 8
 GRID = 32
-STEP = 0.7
-STEPS = 60
-CLOSE = 1e-6
+STEP = 1.0
+STEPS = 40
+CLOSE = 1e-4
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -75,7 +75,8 @@ def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
     one = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), body.alias("body"))
     two = one.select("rid", "doc_id", "body", words.alias("words"))
     n = F.size("words") - F.size(F.filter("words", lambda w: w == ""))
-    return two.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.explode(F.concat(F.array_distinct("words"), shape(F.col("body")))).alias("feature"))
+    three = two.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat(F.array_distinct("words"), shape(F.col("body"))).alias("features"))
+    return three.select("rid", "doc_id", "n_tokens", F.explode("features").alias("feature"))  # apart: what stands beside an explode is computed for each of its rows
 
 
 def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[float] | None, DataFrame | None]:
