@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from .shared import LOWER, ranges, ranges_to_strings, text_bytes
 
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 #: Bytes of text that the library gets at once.
 ENCODE_BYTES = 1 << 20
 
