@@ -64,7 +64,7 @@ BROADCAST_ROWS = 200_000
 #: Sets of at most so many shingles are always sent whole.
 SMALL = 256
 ROUGH = 0.04
-_STEP = 8 << 20
+_STEP = 4 << 20
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -265,25 +265,37 @@ def _opened(body: bytes, bits: int) -> np.ndarray:
     if bits == 64:
         return np.frombuffer(body, np.uint64)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
-    return np.unique(np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64))
+    values = np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
 
 
 def compared(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
     """``a``, ``b``, ``inter``, ``total`` (sizes of intersection and union) and ``slack`` of each pair.
 
-    Each document's set goes once to each document it is compared with; a
-    document with many partners is met in several places, each of at most about
-    ``PIVOT_PAIRS`` of them.  Unless ``whole``, large sets go as the first bits of
-    their hashes, as many as leave one false match in 16,384 shingles; then
-    ``inter`` may be wrong by up to ``slack``.
+    Pairs are compared in blocks, and a set goes once to each block.  The block of
+    a pair is the smallest partner that both have, or if there is none ``b``, which
+    is then met in several places, each of at most about ``PIVOT_PAIRS`` partners.
+    Unless ``whole``, large sets go as the first bits of their hashes, as many as
+    leave one false match in 16,384 shingles; then ``inter`` may be wrong by up to
+    ``slack``.
     """
     spark = docs.sparkSession
-    goal_size = sizes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"))
-    bits = F.lit(64) if whole else F.when(F.col("n_b") <= SMALL, F.lit(64)).otherwise(F.ceil(F.log2(F.col("n_b") * DEN / NUM)).cast("int") + 14)
-    many = pairs.groupBy("b").count().join(goal_size, "b").select("b", F.ceil(F.col("count") / PIVOT_PAIRS).cast("int").alias("places"), bits.cast("int").alias("bits"))
-    placed = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"), "bits")
-    sent = placed.select(F.col("a").alias("doc"), "b", "place", "bits").union(many.select(F.col("b").alias("doc"), "b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "bits"))
-    goals = stored(sent.groupBy("doc").agg(F.collect_list(F.struct("b", "place", "bits")).alias("goals")), "goals")
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("lead"))
+    led = pairs.join(lead.withColumnRenamed("lead", "lead_a"), "a").join(lead.select(F.col("a").alias("b"), F.col("lead").alias("lead_b")), "b")
+    both = stored(led.select("a", "b", F.when(F.col("lead_a") == F.col("lead_b"), F.col("lead_a")).alias("lead")), "led")
+    large = both.where("lead IS NOT NULL").groupBy("lead").count().where(F.col("count") > PIVOT_PAIRS).select("lead", F.lit(True).alias("large"))
+    both = both.join(large, "lead", "left").select("a", "b", F.when(F.col("large").isNull(), F.col("lead")).alias("lead"))
+    many = both.where("lead IS NULL").groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("places"))
+    placed = both.join(many, "b", "left").select("a", "b", F.coalesce("lead", "b").alias("block"), F.when(F.col("lead").isNotNull(), -1).otherwise(F.pmod(F.xxhash64("a"), F.col("places"))).cast("int").alias("place"))
+    block_size = sizes.select(F.col("doc").alias("block"), F.col("n").alias("n_block"))
+    bits = F.lit(64) if whole else F.when(F.col("n_block") <= SMALL, F.lit(64)).otherwise(F.ceil(F.log2(F.col("n_block") * DEN / NUM)).cast("int") + 14)
+    none = F.lit(None).cast("long")
+    sent = placed.select(F.col("a").alias("doc"), "block", "place", F.col("b").alias("to")).union(placed.select(F.col("b").alias("doc"), "block", "place", none.alias("to")))
+    each = sent.groupBy("doc", "block", "place").agg(F.collect_list("to").alias("to")).join(block_size, "block")
+    goals = stored(each.groupBy("doc").agg(F.collect_list(F.struct("block", "place", bits.cast("int").alias("bits"), "to")).alias("goals")), "goals")
     wanted = F.broadcast(goals) if goals.count() <= BROADCAST_ROWS else goals
     arrow_ready(spark)
 
@@ -295,32 +307,42 @@ def compared(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, whole: bool) -
             flat = to.flatten()
             row = np.repeat(np.arange(len(n)), n)
             widths = flat.field(2).to_numpy(zero_copy_only=False)
+            kept: dict[tuple[int, int], bytes] = {}
             for a in range(0, len(row), 2_000):
-                part = row[a : a + 2_000]
-                bodies = pa.array([_body(sets[ends[r] - size[r] : ends[r]], w) for r, w in zip(part.tolist(), widths[a : a + 2_000].tolist())], pa.binary())
+                part, bodies = row[a : a + 2_000], []
+                for key in zip(part.tolist(), widths[a : a + 2_000].tolist()):
+                    if key not in kept:
+                        kept = {key: _body(sets[ends[key[0]] - size[key[0]] : ends[key[0]]], key[1])}
+                    bodies.append(kept[key])
                 goal = flat.slice(a, len(part))
-                yield pa.RecordBatch.from_arrays([goal.field(0), goal.field(1), b.column(0).take(pa.array(part)), goal.field(2), pa.array(size[part], pa.int32()), bodies], ["b", "place", "a", "bits", "n", "body"])
+                yield pa.RecordBatch.from_arrays([goal.field(0), goal.field(1), b.column(0).take(pa.array(part)), goal.field(2), pa.array(size[part], pa.int32()), goal.field(3), pa.array(bodies, pa.binary())], ["block", "place", "a", "bits", "n", "to", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goal, base, base_n = None, None, 0
-        for batch in batches:
+        block, held = None, {}
+
+        def ended() -> Iterator[pa.RecordBatch]:
             out = []
-            for b, place, a, width, n, body in zip(*(c.to_pylist() for c in batch.columns[:6])):
-                if a == b:
-                    if goal != (b, place) or n > base_n:
-                        goal, base, base_n = (b, place), _opened(body, width), n
-                    continue
-                if goal != (b, place):
-                    continue
-                both = np.concatenate((_opened(body, width), base))
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                out.append((a, b, inter, base_n + n - inter, 0 if width == 64 else 8 + max(n, base_n) // 500))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "inter", "total", "slack"])
-
-    sets = docs.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, "b long, place int, a long, bits int, n int, body binary")
-    dealt = sets.repartition(shuffle_parts(spark), "b", "place").withColumn("first", F.when(F.col("a") == F.col("b"), 0).otherwise(1)).sortWithinPartitions("b", "place", "first")
+            for a, (own, n, to, width) in held.items():
+                for b in to:
+                    base, m, _, _ = held[b]
+                    at = np.searchsorted(base, own)
+                    at[at == len(base)] = 0
+                    inter = int((base[at] == own).sum())
+                    out.append((a, b, inter, m + n - inter, 0 if width == 64 else 8 + max(n, m) // 500))
+            for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[k : k + 20_000])], ["a", "b", "inter", "total", "slack"])
+
+        for batch in batches:
+            for key, place, a, width, n, to, body in zip(*(c.to_pylist() for c in batch.columns[:7])):
+                if block != (key, place):
+                    yield from ended()
+                    block, held = (key, place), {}
+                if a not in held or n > held[a][1]:
+                    held[a] = (_opened(body, width), n, to, width)
+        yield from ended()
+
+    found = docs.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, "block long, place int, a long, bits int, n int, to array<long>, body binary")
+    dealt = found.repartition(shuffle_parts(spark), "block", "place").sortWithinPartitions("block", "place")
     return stored(dealt.mapInArrow(compare, "a long, b long, inter long, total long, slack long"), "compared")
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles at once (a longer document forms a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bytes of Arrow data that Spark hands to a Python worker at once.
 ARROW_BYTES = 16 << 20
 
