@@ -77,7 +77,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     places = F.sort_array(F.filter(again, lambda i: i.isNotNull()))
     empty = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate(places, empty, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return third.select("row", *[covered.cast("long").alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    # as the output of a generator the measurements are computed once: filters on them aren't pushed below it
+    return third.select("row", F.inline(F.array(F.struct(*[covered.cast("long").alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES]))))
 
 
 def bits() -> Column:
