@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership, in DataFrame and SQL functions only.
 
-1. A Bernoulli-style classifier is fitted on labelled rows: ``labels`` gives each
+1. A naive Bayes classifier over presence and absence is fitted on labelled rows: ``labels`` gives each
    labelled document a domain (clean, low, toxic).  Features are a text's distinct
    words and coarse shape marks; those kept are frequent enough and tell the
    domains apart best, at most ``VOCABULARY`` of them, so the weight table that is
@@ -20,7 +20,8 @@ target is its present total, the others' follow from the weights.
 Fitting uses at most about ``SAMPLE`` labelled rows, chosen by a hash of the id.
 
 Defined results: a null text has no words; without any labelled row all
-posteriors are those of the first domain and all rates 1; a label without a
+posteriors are those of the first domain and all rates 1; a domain with fewer than
+``LEAST_ROWS`` labelled rows gets no posterior; a label without a
 document is ignored, a document without a label is only scored; of several labels
 of one id the smallest domain number counts; rows keep a null id and repeated
 rows their own rates; an empty table gives an empty result.
@@ -42,7 +43,13 @@ SAMPLE = 20_000
 #: Weights kept.
 VOCABULARY = 4_096
 #: Labelled documents that must have a feature.
-LEAST_DOCS = 8
+LEAST_DOCS = 15
+#: Labelled documents that a domain must have; with fewer it gets no posterior.
+LEAST_ROWS = 20
+#: Least weight times the root of the documents of a feature: below, differences are chance.
+LEAST_GAIN = 8.0
+#: Rows at the mean rate that each domain is taken to have besides its own.
+SMOOTHING = 4.0
 GRID = 32
 STEP = 1.0
 STEPS = 40
@@ -80,7 +87,7 @@ def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[float] | None, DataFrame | None]:
-    """Log priors of the domains, and the weight of each feature for each domain (``w0`` ...)."""
+    """What a text without features scores for each domain, and the weight of each feature for each domain (``w0`` ...)."""
     import math
 
     k = range(len(DOMAINS))
@@ -94,16 +101,21 @@ def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str =
     if not sum(count):
         return None, None
     total = sum(count)
-    # a feature's presence costs or gains the log ratio of its rates within and outside the domain
+    # naive Bayes over presence and absence, relative to the mean rates
     rows = featured(texts.withColumn("doc_id", F.struct("doc_id", "domain")), "doc_id", "text").select(F.col("doc_id.domain").alias("domain"), "feature")
     seen = rows.where("feature <> ''").groupBy("feature").agg(*[F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{d}") for d in k])
     all_n = sum((F.col(f"n{d}") for d in k), F.lit(0))
-    rate = [(F.col(f"n{d}") + 0.5 * all_n / total + 0.05) / F.lit(count[d] + 1.0) for d in k]
     mean = (all_n + 0.5) / F.lit(total + 1.0)
-    weights = [F.log(r / mean) for r in rate]
-    gain = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) * F.sqrt(all_n.cast("double")) for w in weights])
-    picked = seen.where(all_n >= LEAST_DOCS).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], gain.alias("gain")).where("gain >= 3").orderBy(F.desc("gain"), "feature").limit(VOCABULARY)
-    return [math.log((c + 1) / (total + len(DOMAINS))) for c in count], stored(picked.drop("gain"), "weights")
+    rate = [(F.col(f"n{d}") + SMOOTHING * mean) / F.lit(count[d] + SMOOTHING) for d in k]  # a domain of few rows stays near the mean
+    mean, rate = F.least(mean, F.lit(0.999)), [F.least(r, F.lit(0.999)) for r in rate]
+    weights = [F.log(r * (1 - mean) / (mean * (1 - r))) for r in rate]
+    absent = [F.log((1 - r) / (1 - mean)) for r in rate]
+    gain = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) * F.sqrt(all_n.cast("double")) for w, c in zip(weights, count) if c >= LEAST_ROWS])
+    picked = seen.where(all_n >= LEAST_DOCS).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], *[w.alias(f"o{d}") for d, w in zip(k, absent)], gain.alias("gain"))
+    kept = stored(picked.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(VOCABULARY).drop("gain"), "weights")
+    none = kept.agg(*[F.coalesce(F.sum(f"o{d}"), F.lit(0.0)) for d in k]).first()  # what a text without any feature says
+    base = [math.log(c / total) + none[d] if c >= LEAST_ROWS else -math.inf for d, c in enumerate(count)]
+    return (base, kept.select("feature", *[f"w{d}" for d in k])) if max(base) > -math.inf else (None, None)
 
 
 def posteriors(docs: DataFrame, priors: list[float] | None, weights: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,7 +126,7 @@ def posteriors(docs: DataFrame, priors: list[float] | None, weights: DataFrame |
         flat = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).select("doc_id", F.size(F.filter(F.split(F.lower("body"), _SPLIT), lambda w: w != "")).cast("long").alias("n_tokens"))
         return flat.select("doc_id", "n_tokens", *[F.lit(GRID if d == 0 else 0).alias(f"q{d}") for d in k])
     joined = rows.join(F.broadcast(weights), "feature", "left")
-    scores = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), *[(F.lit(priors[d]) + F.coalesce(F.sum(f"w{d}"), F.lit(0.0))).alias(f"s{d}") for d in k])
+    scores = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), *[(F.lit(max(priors[d], -1e9)) + F.coalesce(F.sum(f"w{d}"), F.lit(0.0))).alias(f"s{d}") for d in k])
     top = reduce(F.greatest, [F.col(f"s{d}") for d in k])
     raised = scores.select("doc_id", "n_tokens", *[F.exp(F.greatest(F.col(f"s{d}") - top, F.lit(-700.0))).alias(f"e{d}") for d in k])
     whole = sum((F.col(f"e{d}") for d in k), F.lit(0.0))
