@@ -64,7 +64,7 @@ BROADCAST_ROWS = 200_000
 #: Sets of at most so many shingles are always sent whole.
 SMALL = 256
 ROUGH = 0.04
-_STEP = 4 << 20
+_STEP = 2 << 20
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from .shared import ALNUM_WORDS, Words, arrow_ready, covered, ranges, steps, sto
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
 #: Bytes of text in a segment, about.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Bytes of item text that one search takes to the tasks at once.
 BLOCK_BYTES = 16 << 20
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one vectorised step handles at once (a longer document forms a step of its own).
 STEP_BYTES = 2 << 20
 #: Bytes of Arrow data that Spark hands to a Python worker at once.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,6 +80,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at, done = to, ends[to - 1]
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
