@@ -134,8 +134,8 @@ def _integer(e: Expr) -> Column:
     """The value as an integer: booleans are 0 and 1, strings that are no numbers null."""
     if e.kind == "column":
         c = _text(e.args[0])
-        truth = F.when(c.isin("true", "t"), 1).when(c.isin("false", "f"), 0).cast("long")
-        return F.coalesce(c.try_cast("long"), truth)
+        yes = F.when(c.isin("true", "t"), 1).when(c.isin("false", "f"), 0).cast("long")
+        return F.coalesce(c.try_cast("long"), yes)
     if e.kind == "int":
         return F.lit(e.args[0]).cast("long")
     if e.kind == "str":
