@@ -43,10 +43,11 @@ def as_value(value: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":(.*)\}$', 1)
 
 
-def op(kind: str, field: str | None = None, value: Column | None = None, query: Column | None = None, ops: Column | None = None) -> Column:
+def op(kind: str, field: str | None = None, value: Column | None = None, query: Column | None = None, ops: Column | None = None, text: Column | None = None) -> Column:
+    """One operation; its value is a column, or JSON ``text`` (inside array functions, where a struct loses its names)."""
     none = F.lit(None).cast("string")
     return F.struct(
-        F.lit(kind).alias("op"), F.lit(field).cast("string").alias("field"), (as_value(value) if value is not None else none).alias("value"), (query if query is not None else none).alias("query"), (ops if ops is not None else none).alias("ops")
+        F.lit(kind).alias("op"), F.lit(field).cast("string").alias("field"), (text if text is not None else as_value(value) if value is not None else none).alias("value"), (query if query is not None else none).alias("query"), (ops if ops is not None else none).alias("ops")
     ).cast(OP)
 
 

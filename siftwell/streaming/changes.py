@@ -15,6 +15,11 @@ def _array(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast(_EMPTY))
 
 
+def _each(kind: str, field: str):
+    """What makes an operation of each value of an array."""
+    return lambda v: op(kind, field, text=v.cast("string"))
+
+
 def diff(old: DataFrame, new: DataFrame, spec: IndexSpec, patch: bool = False) -> DataFrame:
     """Operations that turn ``old`` into ``new``: (``entity_id``, ``creates_slot``, ``ops``), rows without a change left out.
 
@@ -32,8 +37,8 @@ def diff(old: DataFrame, new: DataFrame, spec: IndexSpec, patch: bool = False) -
     for f in fields:
         a, b = F.col(f"_o_{f.name}"), F.col(f"_n_{f.name}")
         if f.multi:
-            gone = F.transform(F.array_except(_array(f"_o_{f.name}"), _array(f"_n_{f.name}")), lambda v, name=f.name: op("remove", name, v))
-            came = F.transform(F.array_except(_array(f"_n_{f.name}"), _array(f"_o_{f.name}")), lambda v, name=f.name: op("add", name, v))
+            gone = F.transform(F.array_except(_array(f"_o_{f.name}"), _array(f"_n_{f.name}")), _each("remove", f.name))
+            came = F.transform(F.array_except(_array(f"_n_{f.name}"), _array(f"_o_{f.name}")), _each("add", f.name))
             change = F.concat(gone, came)
             parts.append(F.when(b.isNotNull(), change).otherwise(none) if patch else change)
         else:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.convert import mapped, valid_id, with_computed
+from ..plans.lineage import cut
 from ..spec import FieldSpec, IndexSpec
 
 KINDS = ("set", "remove", "add", "delete", "alive", "queryOpSet")
@@ -229,10 +230,12 @@ def fan_out(table: DataFrame, reduced: DataFrame, spec: IndexSpec, most: int | N
 def apply(table: DataFrame, batch: DataFrame, spec: IndexSpec, now: int | None = None, most: int | None = None, create: bool = True) -> DataFrame:
     """One batch: direct operations first, then fan-outs against the table that these gave."""
     ops = valid(rescheduled(flat(batch), spec, now), spec)
-    reduced = dedup(ops)
+    reduced = cut(dedup(ops))  # read by several branches below
     direct = fold(table, reduced, spec, create)
+    if not reduced.where("op = 'queryOpSet'").limit(1).count():
+        return direct
     spread = rescheduled(fan_out(direct, reduced, spec, most), spec, now)
-    return fold(direct, dedup(spread), spec, create=False)
+    return fold(direct, cut(dedup(spread)), spec, create=False)
 
 
 def fan_sizes(table: DataFrame, reduced: DataFrame, spec: IndexSpec) -> DataFrame:
