@@ -21,8 +21,9 @@ candidate pairs with the number of shared signatures; from it and the segments
 of both sets follows a lower bound on their difference, which drops most false
 candidates unread.  Sets with too many heavy signatures (members of large
 families of near copies) are compared with pivots of their heavy groups instead,
-round by round, until no group holds two components that a pivot's exact
-similarities leave open by the triangle inequality.
+round by round, until no group holds two components that a pivot's similarities leave
+open by the triangle inequality.  Shingles that no other candidate has give
+another lower bound of the difference.
 
 Every link that counts is verified on the whole sets.  Equal sets are one class
 with one representative before any of this, so groups of copies cost one row for
@@ -361,6 +362,41 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return sure.select("a", "b", reaches(0).alias("linked"), (1 - F.col("inter") / F.col("total")).alias("d"))
 
 
+def unshared(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc`` and ``u``: shingles of the document that no other document of ``ids`` has.
+
+    Two of these documents differ by ``u`` of the one and ``u`` of the other at least.
+    """
+    spark = docs.sparkSession
+    arrow_ready(spark)
+    parts = shuffle_parts(spark)
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, most=_STEP):
+            sets, size = shingle_sets(b.column(1))
+            found = list(bucketed(sets, np.repeat(b.column(0).to_numpy(), size), np.zeros(len(sets), np.int64), parts))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(bucket, []).append(blob)
+        for bucket in sorted(held):
+            token, doc = (np.concatenate(x) for x in list(zip(*map(unpack, held.pop(bucket))))[:2])
+            order = np.argsort(token)
+            token, doc = token[order], doc[order]
+            same = token[1:] == token[:-1]
+            ids, n = np.unique(doc[~(np.concatenate((same, [False])) | np.concatenate(([False], same)))], return_counts=True)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["doc", "u"])
+
+    blobs = docs.join(some, "doc").select("doc", "text").mapInArrow(scatter, "bucket int, blob binary")
+    return stored(blobs.repartition(parts, "bucket").mapInArrow(count, "doc long, u long").groupBy("doc").agg(F.sum("u").alias("u")), "unshared")
+
+
 def _one_each(candidates: DataFrame) -> DataFrame:
     """For each document its likeliest partner (``a``, ``b``, ``shared``)."""
     return candidates.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select("a", "b")
@@ -400,6 +436,15 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     # heavy groups: only the members that need them
     crowds = stored(groups.where(F.col("size") > HEAVY).join(crowded, ["doc", "tag"]).select("sig", "doc"), "crowds")
 
+    # shingles that no other candidate has: a second lower bound, which large families of distant copies need
+    ids = stored(light.select(F.col("a").alias("doc")).union(light.select("b")).union(crowds.select("doc")).distinct(), "candidates")
+    several = index.where("kind = 0").groupBy("doc").count().where("count > 1").select("doc")  # rows of one id: the bound is not used
+    own = stored(ids.join(sizes, "doc").join(unshared(docs, ids).join(several, "doc", "left_anti"), "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u")), "own")
+    at = lambda name: own.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("u").alias(f"u_{name}"))
+    light = stored(light.join(at("a"), "a").join(at("b"), "b").where(_may_link()).select("a", "b", "shared"), "light")
+    alone = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
+    crowds = stored(crowds.join(own, "doc").where(F.col("u") <= alone), "crowds")
+
     def pivoted(rows: DataFrame, pivot) -> DataFrame:
         best = rows.groupBy("sig").agg(pivot.alias("b"))
         return _one_each(rows.join(best, "sig").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("shared")))
@@ -414,7 +459,7 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
         label = lambda name: F.coalesce(f"c_{name}", name)
         done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = light.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
-        told = crowds.join(named("doc"), "doc", "left").select("sig", "doc", label("doc").alias("c"))
+        told = crowds.join(named("doc"), "doc", "left").select("sig", "doc", "n", "u", label("doc").alias("c"))
         split = told.groupBy("sig").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high").select("sig")
         told = told.join(split, "sig", "left_semi")
         # other pivots bring nearly all members of a family together; then what none of them rules out
@@ -433,6 +478,11 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     return named.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def _may_link():
+    """Whether the shingles that only one of two candidates has (``u_a``, ``u_b``) leave room for a link."""
+    return F.col("u_a") + F.col("u_b") <= F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
+
+
 def _open_pairs(told: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs of different components in a heavy group that no pivot rules out.
 
@@ -442,11 +492,11 @@ def _open_pairs(told: DataFrame, tried: DataFrame) -> DataFrame:
     """
     to_pivot = tried.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
     low = told.groupBy("sig").agg(F.min("doc").alias("pivot"))
-    rows = told.join(low, "sig").join(to_pivot, ["doc", "pivot"], "left").select("sig", "doc", "c", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
+    rows = told.join(low, "sig").join(to_pivot, ["doc", "pivot"], "left").select("sig", "doc", "c", "n", "u", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
     # one side: members outside their group's largest component
     big = rows.groupBy("sig", "c").count().groupBy("sig").agg(F.max_by("c", "count").alias("main"))
-    odd = rows.join(big, "sig").where("c <> main").select("sig", F.col("doc").alias("a"), F.col("c").alias("c_a"), F.col("d").alias("d_a"))
-    other = rows.select("sig", F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("d").alias("d_b"))
+    odd = rows.join(big, "sig").where("c <> main").select("sig", F.col("doc").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("d").alias("d_a"))
+    other = rows.select("sig", F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("d").alias("d_b"))
     # cells of the distance: partners lie in the same cell or the next
     width = 1.0 - NUM / DEN + 2 * ROUGH
     top = int(1 / width)
@@ -455,7 +505,7 @@ def _open_pairs(told: DataFrame, tried: DataFrame) -> DataFrame:
     odd = odd.withColumn("cell", F.explode(F.when(F.col("d_a").isNull(), every).otherwise(F.array(cell("d_a") - 1, cell("d_a"), cell("d_a") + 1))))
     other = other.withColumn("cell", F.explode(F.when(F.col("d_b").isNull(), every).otherwise(F.array(cell("d_b")))))
     far = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) > width, F.lit(False))
-    near = odd.join(other, ["sig", "cell"]).where((F.col("c_a") != F.col("c_b")) & ~far)
+    near = odd.join(other, ["sig", "cell"]).where((F.col("c_a") != F.col("c_b")) & ~far & _may_link())
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
