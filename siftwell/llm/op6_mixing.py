@@ -17,11 +17,14 @@
 ``TARGETS`` are weights of the mixture.  The first domain sets the scale: its
 target is its present total, the others' follow from the weights.
 
-Fitting uses at most about ``SAMPLE`` labelled rows, chosen by a hash of the id.
+Fitting uses at most about ``SAMPLE`` labelled rows that have a document, shared out
+among the domains from the smallest up: of a rare domain all rows, of the others a
+share chosen by a hash of the id.  Priors are those of all labelled rows.  Smoothing
+keeps a domain of few rows near the mean; none with a labelled row is left out.
 
 Defined results: a null text has no words; without any labelled row all
-posteriors are those of the first domain and all rates 1; a domain with fewer than
-``LEAST_ROWS`` labelled rows gets no posterior; a label without a
+posteriors are those of the first domain and all rates 1; a domain without a
+labelled row gets no posterior; a label without a
 document is ignored, a document without a label is only scored; of several labels
 of one id the smallest domain number counts; rows keep a null id and repeated
 rows their own rates; an empty table gives an empty result.
@@ -42,10 +45,8 @@ TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0}
 SAMPLE = 20_000
 #: Weights kept.
 VOCABULARY = 4_096
-#: Labelled documents that must have a feature.
+#: Labelled documents that must have a feature; or two, if they are this part of a domain's rows.
 LEAST_DOCS = 15
-#: Labelled documents that a domain must have; with fewer it gets no posterior.
-LEAST_ROWS = 20
 #: Least weight times the root of the documents of a feature: below, differences are chance.
 LEAST_GAIN = 8.0
 #: Rows at the mean rate that each domain is taken to have besides its own.
@@ -83,7 +84,22 @@ def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
     two = one.select("rid", "doc_id", "body", words.alias("words"))
     n = F.size("words") - F.size(F.filter("words", lambda w: w == ""))
     three = two.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat(F.array_distinct("words"), shape(F.col("body"))).alias("features"))
-    return three.select("rid", "doc_id", "n_tokens", F.explode("features").alias("feature"))  # apart: what stands beside an explode is computed for each of its rows
+    return three.select("rid", "doc_id", "n_tokens", F.explode_outer("features").alias("feature"))  # apart: what stands beside an explode is computed for each of its rows; outer: never empty, so no filter on its size need be computed below the joins
+
+
+def sampled(docs: DataFrame, domains: DataFrame, key: str = "doc_id") -> tuple[DataFrame, list[int]]:
+    """``doc_id`` and ``domain`` of the labels to fit on, and how many labelled rows each domain has in all."""
+    ids = docs.select(F.col(key).alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    labelled = stored(ids.join(domains, "doc_id"), "labelled")
+    found = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.sum("n").alias("n")).collect()}  # a row for each domain
+    total = [found.get(d, 0) for d in range(len(DOMAINS))]
+    left, taken = SAMPLE, F.lit(False)
+    for others, d in enumerate(sorted(range(len(DOMAINS)), key=total.__getitem__)):
+        part = min(total[d], left / (len(DOMAINS) - others))  # what a small domain leaves goes to the larger ones
+        left -= part
+        limit = int(1_000_003 * part / max(total[d], 1)) + 1
+        taken |= (F.col("domain") == d) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(limit))
+    return labelled.where(taken).select("doc_id", "domain"), total
 
 
 def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[float] | None, DataFrame | None]:
@@ -91,15 +107,12 @@ def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str =
     import math
 
     k = range(len(DOMAINS))
-    n = domains.count()
-    if not n:
+    chosen, every = sampled(docs, domains, key)
+    if not sum(every):
         return None, None
-    chosen = domains.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, SAMPLE / n)) + 1))
     texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col(key) == F.col("__id")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "domain")
     ids = texts.groupBy("domain").count().collect()  # a row for each domain
     count = [sum(r["count"] for r in ids if r["domain"] == d) for d in k]
-    if not sum(count):
-        return None, None
     total = sum(count)
     # naive Bayes over presence and absence, relative to the mean rates
     rows = featured(texts.withColumn("doc_id", F.struct("doc_id", "domain")), "doc_id", "text").select(F.col("doc_id.domain").alias("domain"), "feature")
@@ -110,12 +123,13 @@ def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str =
     mean, rate = F.least(mean, F.lit(0.999)), [F.least(r, F.lit(0.999)) for r in rate]
     weights = [F.log(r * (1 - mean) / (mean * (1 - r))) for r in rate]
     absent = [F.log((1 - r) / (1 - mean)) for r in rate]
-    gain = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) * F.sqrt(all_n.cast("double")) for w, c in zip(weights, count) if c >= LEAST_ROWS])
-    picked = seen.where(all_n >= LEAST_DOCS).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], *[w.alias(f"o{d}") for d, w in zip(k, absent)], gain.alias("gain"))
+    gain = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) * F.sqrt(all_n.cast("double")) for w, c in zip(weights, count) if c])
+    often = reduce(lambda so_far, d: so_far | (F.col(f"n{d}") >= max(2, count[d] / LEAST_DOCS)), k, all_n >= LEAST_DOCS)  # a rare domain has its own features too
+    picked = seen.where(often).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], *[w.alias(f"o{d}") for d, w in zip(k, absent)], gain.alias("gain"))
     kept = stored(picked.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(VOCABULARY).drop("gain"), "weights")
     none = kept.agg(*[F.coalesce(F.sum(f"o{d}"), F.lit(0.0)) for d in k]).first()  # what a text without any feature says
-    base = [math.log(c / total) + none[d] if c >= LEAST_ROWS else -math.inf for d, c in enumerate(count)]
-    return (base, kept.select("feature", *[f"w{d}" for d in k])) if max(base) > -math.inf else (None, None)
+    base = [math.log(c / sum(every)) + none[d] if c else -math.inf for d, c in enumerate(every)]
+    return base, kept.select("feature", *[f"w{d}" for d in k])
 
 
 def posteriors(docs: DataFrame, priors: list[float] | None, weights: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,6 +72,41 @@ def test_mixing_without_labels(spark, tables):
     assert op6.mixed(docs.where("false"), labels).count() == 0
 
 
+def recognised(found, labels, kind):
+    """The mean posterior of the domain over the documents that are of it."""
+    return found.join(op6.domain_of(labels), "doc_id").where(F.col("domain") == kind).agg(F.avg(F.col(f"q{kind}") / op6.GRID)).first()[0]
+
+
+def test_mixing_rare_domain(spark, tables, monkeypatch):
+    """1,500 clean labels, 12 toxic ones: a sample of 300 has all of these."""
+    monkeypatch.setattr(op6, "SAMPLE", 300)
+    docs, labels = tables
+    r = random.Random(8)
+    more = spark.createDataFrame([(10_000 + i, " ".join(sentence(r, 80)), "x") for i in range(1500)], "doc_id long, text string, source string")
+    toxic = [x.doc_id for x in labels.where("toxic = 1").orderBy("doc_id").limit(12).collect()]
+    gone = spark.createDataFrame([(50_000 + i, 1, 1) for i in range(3000)], labels.schema)  # labels without a document
+    some = more.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).union(labels.where(F.col("doc_id").isin(toxic))).union(gone)
+    both = docs.union(more)
+    chosen, total = op6.sampled(both, op6.domain_of(some))
+    n = {x["domain"]: x["count"] for x in chosen.groupBy("domain").count().collect()}
+    assert total == [1500, 0, 12] and n[2] == 12 and 200 < n[0] < 380
+    found = op6.posteriors(both, *op6.fitted(both, op6.domain_of(some)))
+    assert recognised(found, labels.where(~F.col("doc_id").isin(toxic)), 2) > 0.8
+    assert recognised(found, some, 0) > 0.98
+    rates = op6.mixed(both, some).join(labels.where("quality = 1"), "doc_id").groupBy("toxic").agg(F.avg("rate")).collect()
+    assert dict(map(tuple, rates))[1] < 0.25 and dict(map(tuple, rates))[0] > 0.9
+
+
+def test_mixing_few_labels(spark, tables):
+    """80 labels, of them 9 of each small domain."""
+    docs, labels = tables
+    parts = [labels.where(w).orderBy("doc_id").limit(n) for w, n in (("quality = 1 AND toxic = 0", 62), ("quality = 0", 9), ("toxic = 1", 9))]
+    some = parts[0].union(parts[1]).union(parts[2])
+    found = op6.posteriors(docs, *op6.fitted(docs, op6.domain_of(some)))
+    rest = labels.join(some, "doc_id", "left_anti")
+    assert min(recognised(found, rest, d) for d in range(3)) > 0.5
+
+
 def test_stages(spark, tables, tmp_path):
     docs, labels = tables
     rows = sorted(tuple(r) for r in docs.collect())
