@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written before the next one reads it.
 
-1. quality: the rule ledger's newest policy; documents that it rejects go.
+1. quality: the rule ledger's policy ``corpus``; documents that it rejects go.
 2. near_duplicates: of each group of linked documents the one with the smallest id stays.
 3. decontamination: documents with a passage of a benchmark item go.
 4. mixing: each document stays with the probability of its rate; rates of 1 and
@@ -32,7 +32,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_quality.judged(docs)
+    return op1_quality.judged(docs, policy="corpus")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

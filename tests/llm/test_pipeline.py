@@ -72,6 +72,14 @@ def test_mixing_without_labels(spark, tables):
     assert op6.mixed(docs.where("false"), labels).count() == 0
 
 
+def test_quality_keeps_long_clean_text(spark):
+    """200,000 words, 4 percent of them distinct and hardly any three in a row again."""
+    r = random.Random(3)
+    book = " ".join(f"word{r.randrange(8000)}" for _ in range(200_000))
+    docs = spark.createDataFrame([(1, book), (2, "too short"), (3, "the same words again " * 3000)], "doc_id long, text string")
+    assert [x.doc_id for x in corpus_pipeline.quality(spark, docs, "").collect()] == [1]
+
+
 def recognised(found, labels, kind):
     """The mean posterior of the domain over the documents that are of it."""
     return found.join(op6.domain_of(labels), "doc_id").where(F.col("domain") == kind).agg(F.avg(F.col(f"q{kind}") / op6.GRID)).first()[0]
