@@ -191,6 +191,32 @@ def _batch(rows: int, /, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[c]) if c in columns else pa.nulls(rows, _KINDS[c]) for c in _NAMES], _NAMES)
 
 
+def fingerprints(sets: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return [np.diff(np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ _salt(77 + k)[0]), dtype=np.uint64)))[ends]) for k in (0, 1)]
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``doc``, ``text``; of rows that share an id only the one of the largest set."""
+    spark = docs.sparkSession
+    arrow_ready(spark)
+    again = docs.groupBy("doc").count().where("count > 1").select("doc")
+    if not again.limit(1).count():
+        return docs
+    again = stored(again, "again")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, most=_STEP):
+            sets, size = shingle_sets(b.column(1))
+            prints = [p.view(np.int64) for p in fingerprints(sets, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), *(pa.array(c, pa.int64()) for c in (size, *prints))], ["doc", "text", "n", "fp_a", "fp_b"])
+
+    several = docs.join(again, "doc", "left_semi").select("doc", "text").mapInArrow(measure, "doc long, text string, n long, fp_a long, fp_b long")
+    chosen = stored(several.groupBy("doc").agg(F.max_by("text", F.struct("n", "fp_a", "fp_b")).alias("text")), "chosen")
+    return docs.join(again, "doc", "left_anti").select("doc", "text").union(chosen)
+
+
 def indexed(docs: DataFrame) -> DataFrame:
     """One pass over ``doc``, ``text``: rows of kind 0 (documents), 1 (their usable segments by tag), 2 (repeated signatures).
 
@@ -205,8 +231,7 @@ def indexed(docs: DataFrame) -> DataFrame:
         for b in steps(batches, most=_STEP):
             doc = b.column(0).to_numpy()
             sets, size = shingle_sets(b.column(1))
-            ends = np.cumsum(size)
-            prints = [np.diff(np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ _salt(77 + k)[0]), dtype=np.uint64)))[np.concatenate(([0], ends))]) for k in (0, 1)]
+            prints = fingerprints(sets, size)
             facts = [_batch(len(doc), kind=np.zeros(len(doc)), doc=doc, n=size, fp_a=prints[0].view(np.int64), fp_b=prints[1].view(np.int64))]
             new = np.zeros(len(doc), bool)
             for r, key in enumerate(zip(prints[0].tolist(), prints[1].tolist(), size.tolist())):
@@ -404,9 +429,9 @@ def _one_each(candidates: DataFrame) -> DataFrame:
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each document."""
-    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = one_row_each(documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")))
     index = indexed(docs)
-    facts = index.where("kind = 0").groupBy("doc").agg(F.max(F.struct("n", "fp_a", "fp_b")).alias("f")).select("doc", "f.*")
+    facts = index.where("kind = 0").select("doc", "n", "fp_a", "fp_b")
     classes = facts.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc").alias("rep"))
     members = stored(facts.join(classes, ["n", "fp_a", "fp_b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     copies = members.where("doc <> rep").select("doc", "rep")
@@ -438,8 +463,7 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     # shingles that no other candidate has: a second lower bound, which large families of distant copies need
     ids = stored(light.select(F.col("a").alias("doc")).union(light.select("b")).union(crowds.select("doc")).distinct(), "candidates")
-    several = index.where("kind = 0").groupBy("doc").count().where("count > 1").select("doc")  # rows of one id: the bound is not used
-    own = stored(ids.join(sizes, "doc").join(unshared(docs, ids).join(several, "doc", "left_anti"), "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u")), "own")
+    own = stored(ids.join(sizes, "doc").join(unshared(docs, ids), "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u")), "own")
     at = lambda name: own.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("u").alias(f"u_{name}"))
     light = stored(light.join(at("a"), "a").join(at("b"), "b").where(_may_link()).select("a", "b", "shared"), "light")
     alone = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))

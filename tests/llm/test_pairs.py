@@ -1,6 +1,7 @@
 """Operators on pairs of documents against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -62,6 +63,27 @@ def test_jaccard_components(spark, monkeypatch, heavy):
     assert found == brute_components(rows)
 
 
+def test_jaccard_of_ids_with_two_texts(spark):
+    """The largest set of an id counts, wherever its rows are, also where its smaller one is another id's only text."""
+    r = random.Random(6)
+    rows, largest = [], []
+
+    def some(n):
+        return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    for k in range(0, 160, 4):
+        large = some(129)
+        small, partner, other = some(112), large + some(40), some(140)
+        pair = [(k, large), (k, small)]
+        rows += [*r.sample(pair, 2), (k + 1, partner), *r.sample([(k + 2, other), (k + 2, large)], 2), (k + 3, other[:130])]
+        largest += [(k, large), (k + 1, partner), (k + 2, other), (k + 3, other[:130])]
+    r.shuffle(rows)
+    text = lambda rows: [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(text(rows), "doc_id long, text string").repartition(3)
+    found = {x[0]: (x[1], x[2]) for x in op10.join_components(docs).collect()}
+    assert found == brute_components(text(largest))
+
+
 @pytest.mark.parametrize("common, heavy", [(64, 50_000), (2, 5)])
 def test_windows_removed(spark, monkeypatch, common, heavy):
     monkeypatch.setattr(op9, "COMMON", common)
