@@ -13,14 +13,15 @@ Which boundaries are safe depends on the pre-tokenizer:
   piece begins at each space that has other characters than white space on both
   sides.
 
-Both also cut between an ASCII letter and ASCII punctuation other than ``'``.  A
-row that may hold a special token (``<|``) or, for ``before_space``, white space
-beyond ASCII, is cut at plain spaces only or not at all.
+Both also cut between an ASCII letter and ASCII punctuation other than ``'``.  No
+such cut and none before a space is made where a special token (``<|``) may be or,
+for ``before_space``, next to white space beyond ASCII.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ ENCODE_BYTES = 1 << 20
 
 _SPECIAL = r"<\|"
 _OTHER_SPACE = r"<\||[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPECIAL_BYTES = re.compile(rb"<\|")
+#: The same white space in UTF-8, in runs.
+_OTHER_BYTES = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.zeros(256, bool)
@@ -60,6 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.keep_ids = Tokenizer.from_file(tokenizer_path(name)), cut, keep_ids
+        self.special = max((len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()), default=0)
         self._clear()
 
     def _clear(self) -> None:
@@ -81,7 +86,11 @@ class Encoder:
             edge[1:-2] |= (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:]
         odd = _OTHER_SPACE if self.cut == "before_space" else _SPECIAL
         for r in np.flatnonzero(pc.match_substring_regex(col, odd).to_numpy(zero_copy_only=False)):
-            edge[offs[r] : offs[r + 1]] = False
+            begin, text = int(offs[r]), data[offs[r] : offs[r + 1]].tobytes()
+            for m in _SPECIAL_BYTES.finditer(text):
+                edge[begin + max(m.start() - 1, 0) : begin + m.start() + self.special + 1] = False
+            for m in _OTHER_BYTES.finditer(text) if self.cut == "before_space" else ():
+                edge[begin + max(m.start() - 1, 0) : begin + m.end() + 1] = False
         edge[offs] = True
         if self.cut == "before_space":
             edge[n] = False

@@ -128,6 +128,22 @@ def test_pieces_like_the_library():
         assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_odd_rows_are_cut_too():
+    """White space beyond ASCII and special tokens withhold only the cuts next to them."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(7)
+    parts = ["a", "Word", "été", " ", "  ", "\n", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", "x.y", "'s", "!?", "12", "\u0301"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(3000)]
+    texts += [" ".join(["one, two"] * 5000) + odd + " ".join(["three. four"] * 5000) for odd in ("\u00a0", "<|endoftext|>", " \u2003 ")]
+    for name, cut in ((op5.TOKENIZER, "spaces"), (op8.TOKENIZER, "before_space")):
+        want = [e.ids for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
+        col = pa.array(texts, pa.large_string())
+        ids, n = Encoder(name, cut, True).ids(col)
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert max(len(p) for p in Encoder(name, cut, False)._pieces(col[-3:])[0].to_pylist()) < 50
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
