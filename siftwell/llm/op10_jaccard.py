@@ -19,21 +19,28 @@ Groups.  A signature that more than ``HEAVY`` sets share is heavy and, for a set
 that has enough usable segments without it, not needed.  Light groups give
 candidate pairs with the number of shared signatures; from it and the segments
 of both sets follows a lower bound on their difference, which drops most false
-candidates unread.  Sets with too many heavy signatures (members of large
-families of near copies) are compared with pivots of their heavy groups instead,
-round by round, until no group holds two components that a pivot's similarities leave
-open by the triangle inequality.  Shingles that no other candidate has give
-another lower bound of the difference.
+candidates unread.
+
+Crowded sets (too few usable segments without heavy signatures: boilerplate,
+families of near copies) get a second partition of the universe, by frequency
+among the candidates: the frequent shingles form one segment without a budget, each
+rare shingle (at most ``HEAVY`` sets) is a segment of its own.  Pairs that share rare
+shingles are candidates if these leave room for a link.  A linked pair that shares
+none has a core set (hardly any rare shingle) in it; such pairs are sought in
+the heavy groups, through the group's lead, with which all members are compared
+first: only pairs of different components, not separated by their rare
+shingles and what they share with the lead, are compared.  No pair is listed
+that these bounds exclude.
 
 Every link that counts is verified on the whole sets.  Equal sets are one class
-with one representative before any of this, so groups of copies cost one row for
+and are represented by their smallest document; the result has a row for
 each copy.  Nothing is capped or sampled.  Shingles and sets are compared by
 64-bit and 128-bit hashes.
 
 Defined results: a text without words, or null, has an empty set, is linked with
-nothing and is its own component; rows of one id are one document, its set that
-of its row with the largest set (then the smallest hash); rows with a null id are
-left out; an empty table gives an empty result; other columns are not read.
+nothing and is its own component; rows that repeat an id, or have none, are
+documents of their own, and a component is called by the least id among its rows (null if
+none has one); ids are above -2^61; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,11 +51,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import bucketed, unpack
+from .blobs import bucketed, pack, unpack
 from .components import components
 from .shared import Words, arrow_ready, gram_hashes, mix, ranges, shuffle_parts, steps, stored
 
@@ -58,14 +64,14 @@ NUM, DEN = 3, 4
 HEAVY = 32
 #: Weight of candidates in the cost of a plan.
 CROWDING = 3.0
-#: Pairs that one task verifies against one document.
-PIVOT_PAIRS = 2_000
-#: Broadcast bound of the table of documents to verify, in rows (24 bytes each).
-BROADCAST_ROWS = 200_000
-#: Sets of at most so many shingles are always sent whole.
-SMALL = 256
-ROUGH = 0.04
-_STEP = 2 << 20
+#: Pairs, and shingles of them, that are verified in one place.
+PLACE_PAIRS = 200
+PLACE_SHINGLES = 1 << 18
+#: Documents of a lead's group that one task meets at once.
+GROUP_ROWS = 500
+#: Tables that are broadcast have at most so many bytes (as counted from their rows); larger ones are shuffled.
+BROADCAST_BYTES = 8 << 20
+_STEP = 1 << 20
 
 
 def shingle_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,24 +203,17 @@ def fingerprints(sets: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return [np.diff(np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ _salt(77 + k)[0]), dtype=np.uint64)))[ends]) for k in (0, 1)]
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """``doc``, ``text``; of rows that share an id only the one of the largest set."""
-    spark = docs.sparkSession
-    arrow_ready(spark)
-    again = docs.groupBy("doc").count().where("count > 1").select("doc")
+def numbered(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc``, ``text`` under unique ids, and ``doc``, ``name`` of the rows whose id is null or not the only one (None: no such row)."""
+    plain = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    again = plain.groupBy("doc").count().where("count > 1 OR doc IS NULL").select("doc")
     if not again.limit(1).count():
-        return docs
-    again = stored(again, "again")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, most=_STEP):
-            sets, size = shingle_sets(b.column(1))
-            prints = [p.view(np.int64) for p in fingerprints(sets, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), *(pa.array(c, pa.int64()) for c in (size, *prints))], ["doc", "text", "n", "fp_a", "fp_b"])
-
-    several = docs.join(again, "doc", "left_semi").select("doc", "text").mapInArrow(measure, "doc long, text string, n long, fp_a long, fp_b long")
-    chosen = stored(several.groupBy("doc").agg(F.max_by("text", F.struct("n", "fp_a", "fp_b")).alias("text")), "chosen")
-    return docs.join(again, "doc", "left_anti").select("doc", "text").union(chosen)
+        return plain, None
+    again = stored(again.where("doc IS NOT NULL"), "again")
+    odd = plain.join(again, "doc", "left_semi").select("doc", "text").union(plain.where("doc IS NULL"))
+    odd = stored(odd.select((F.monotonically_increasing_id() - F.lit(1 << 62)).alias("number"), "doc", "text"), "odd")
+    docs = plain.where("doc IS NOT NULL").join(again, "doc", "left_anti").select("doc", "text").union(odd.select("number", "text"))
+    return docs, odd.select(F.col("number").alias("doc"), F.col("doc").alias("name"))
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -251,6 +250,15 @@ def indexed(docs: DataFrame) -> DataFrame:
             buckets, blobs = [int(doc[0]) % parts if len(doc) else 0], [b"F" + sink.getvalue().to_pybytes()]
             if rows:
                 sig, row, tag = (np.concatenate(x) for x in zip(*rows))
+                order = np.argsort(sig, kind="stable")
+                sig, row, tag = sig[order], row[order], tag[order]
+                rank, count = ranks(sig)
+                hot = count > HEAVY  # known to be heavy: the members need not meet, two of them tell the bucket
+                if hot.any():
+                    buckets.append(buckets[0])
+                    blobs.append(b"H" + pack(sig[hot], doc[row[hot]], tag[hot]))
+                    few = ~hot | (rank < 2)
+                    sig, row, tag = sig[few], row[few], tag[few]
                 for k, blob in bucketed(sig, doc[row], tag, parts):
                     buckets.append(k)
                     blobs.append(b"S" + blob)
@@ -262,6 +270,8 @@ def indexed(docs: DataFrame) -> DataFrame:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if blob[:1] == b"F":
                     yield from pa.ipc.open_stream(blob[1:])
+                elif blob[:1] == b"H":
+                    yield from repeated(*unpack(blob[1:]))
                 else:
                     held.setdefault(bucket, []).append(blob[1:])
         for bucket in sorted(held):
@@ -270,137 +280,123 @@ def indexed(docs: DataFrame) -> DataFrame:
             sig, doc, tag = sig[order], doc[order], tag[order]
             same = sig[1:] == sig[:-1]
             again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            at = np.flatnonzero(again)
-            for a in range(0, len(at), 100_000):
-                part = at[a : a + 100_000]
-                yield _batch(len(part), kind=np.full(len(part), 2), sig=sig[part].view(np.int64), doc=doc[part], tag=tag[part])
+            yield from repeated(sig[again], doc[again], tag[again])
+
+    def repeated(sig: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(sig), 100_000):
+            part = slice(a, a + 100_000)
+            yield _batch(len(sig[part]), kind=np.full(len(sig[part]), 2), sig=sig[part].view(np.int64), doc=doc[part], tag=tag[part])
 
     blobs = docs.mapInArrow(sign, "bucket int, blob binary")
     return stored(blobs.repartition(parts, "bucket").mapInArrow(gather, _ROW), "signatures")
 
 
-def _body(own: np.ndarray, bits: int) -> bytes:
-    """A sorted set's hashes, whole or only their first bits."""
-    if bits == 64:
-        return own.tobytes()
-    gaps = np.diff(own >> np.uint64(64 - bits), prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _opened(body: bytes, bits: int) -> np.ndarray:
-    if bits == 64:
-        return np.frombuffer(body, np.uint64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
-    values = np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted values: each one's place among its equals, and how many these are."""
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    return values[new]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(values)))
+    return np.arange(len(values)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def _sided(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (a stored table) marked for broadcast if it is small; otherwise the join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def compared(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, whole: bool) -> DataFrame:
-    """``a``, ``b``, ``inter``, ``total`` (sizes of intersection and union) and ``slack`` of each pair.
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``inter`` (shingles that both have) and ``linked`` of each pair (``a``, ``b``, ``n_a``, ``n_b``), from the whole sets.
 
-    Pairs are compared in blocks, and a set goes once to each block.  The block of
-    a pair is the smallest partner that both have, or if there is none ``b``, which
-    is then met in several places, each of at most about ``PIVOT_PAIRS`` partners.
-    Unless ``whole``, large sets go as the first bits of their hashes, as many as
-    leave one false match in 16,384 shingles; then ``inter`` may be wrong by up to
-    ``slack``.
+    Pairs are dealt by ``b`` into places of about ``PLACE_PAIRS`` pairs and
+    ``PLACE_SHINGLES`` shingles; the set of ``b`` comes first in each of its places,
+    and only that one is held.
     """
-    spark = docs.sparkSession
-    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lead = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("lead"))
-    led = pairs.join(lead.withColumnRenamed("lead", "lead_a"), "a").join(lead.select(F.col("a").alias("b"), F.col("lead").alias("lead_b")), "b")
-    both = stored(led.select("a", "b", F.when(F.col("lead_a") == F.col("lead_b"), F.col("lead_a")).alias("lead")), "led")
-    large = both.where("lead IS NOT NULL").groupBy("lead").count().where(F.col("count") > PIVOT_PAIRS).select("lead", F.lit(True).alias("large"))
-    both = both.join(large, "lead", "left").select("a", "b", F.when(F.col("large").isNull(), F.col("lead")).alias("lead"))
-    many = both.where("lead IS NULL").groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("places"))
-    placed = both.join(many, "b", "left").select("a", "b", F.coalesce("lead", "b").alias("block"), F.when(F.col("lead").isNotNull(), -1).otherwise(F.pmod(F.xxhash64("a"), F.col("places"))).cast("int").alias("place"))
-    block_size = sizes.select(F.col("doc").alias("block"), F.col("n").alias("n_block"))
-    bits = F.lit(64) if whole else F.when(F.col("n_block") <= SMALL, F.lit(64)).otherwise(F.ceil(F.log2(F.col("n_block") * DEN / NUM)).cast("int") + 14)
-    none = F.lit(None).cast("long")
-    sent = placed.select(F.col("a").alias("doc"), "block", "place", F.col("b").alias("to")).union(placed.select(F.col("b").alias("doc"), "block", "place", none.alias("to")))
-    each = sent.groupBy("doc", "block", "place").agg(F.collect_list("to").alias("to")).join(block_size, "block")
-    goals = stored(each.groupBy("doc").agg(F.collect_list(F.struct("block", "place", bits.cast("int").alias("bits"), "to")).alias("goals")), "goals")
-    wanted = F.broadcast(goals) if goals.count() <= BROADCAST_ROWS else goals
+    spark = texts.sparkSession
     arrow_ready(spark)
+    load = pairs.groupBy("b").agg(F.ceil(F.greatest(F.count("*") / PLACE_PAIRS, F.sum("n_a") / PLACE_SHINGLES)).cast("int").alias("places"))
+    many = stored(load.where("places > 1"), "places")
+    placed = pairs.join(_sided(many, 16), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("places", F.lit(1))).cast("int").alias("place"))
+    sent = placed.select(F.col("a").alias("doc"), F.col("b").alias("block"), "place").union(placed.select("b", "b", "place").distinct())
+    goals = stored(sent.groupBy("doc").agg(F.collect_list(F.struct("block", "place")).alias("goals")), "goals")
+    many_goals = goals.agg(F.coalesce(F.sum(F.size("goals")), F.lit(0))).first()[0]
+    small = 32 * goals.count() + 24 * many_goals <= BROADCAST_BYTES
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, most=_STEP):
             sets, size = shingle_sets(b.column(1))
             ends = np.cumsum(size)
-            to, n = b.column(2), np.diff(b.column(2).offsets.to_numpy())
-            flat = to.flatten()
-            row = np.repeat(np.arange(len(n)), n)
-            widths = flat.field(2).to_numpy(zero_copy_only=False)
-            kept: dict[tuple[int, int], bytes] = {}
-            for a in range(0, len(row), 2_000):
-                part, bodies = row[a : a + 2_000], []
-                for key in zip(part.tolist(), widths[a : a + 2_000].tolist()):
-                    if key not in kept:
-                        kept = {key: _body(sets[ends[key[0]] - size[key[0]] : ends[key[0]]], key[1])}
-                    bodies.append(kept[key])
-                goal = flat.slice(a, len(part))
-                yield pa.RecordBatch.from_arrays([goal.field(0), goal.field(1), b.column(0).take(pa.array(part)), goal.field(2), pa.array(size[part], pa.int32()), goal.field(3), pa.array(bodies, pa.binary())], ["block", "place", "a", "bits", "n", "to", "body"])
+            doc, lists = b.column(0).to_pylist(), b.column(2)
+            to, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            block, place = to.field(0).to_numpy(zero_copy_only=False), to.field(1).to_numpy(zero_copy_only=False)
+            out, held = [], 0
+            for g, r in enumerate(np.repeat(np.arange(len(n)), n).tolist()):
+                out.append((block[g], place[g], int(block[g] != doc[r]), doc[r], sets[ends[r] - size[r] : ends[r]].tobytes()))
+                held += 8 * int(size[r])
+                if held > _STEP:
+                    yield _rows(out, _SENT)
+                    out, held = [], 0
+            if out:
+                yield _rows(out, _SENT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, {}
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            out = []
-            for a, (own, n, to, width) in held.items():
-                for b in to:
-                    base, m, _, _ = held[b]
-                    at = np.searchsorted(base, own)
-                    at[at == len(base)] = 0
-                    inter = int((base[at] == own).sum())
-                    out.append((a, b, inter, m + n - inter, 0 if width == 64 else 8 + max(n, m) // 500))
-            for k in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[k : k + 20_000])], ["a", "b", "inter", "total", "slack"])
-
+        base, out = np.zeros(0, np.uint64), []
         for batch in batches:
-            for key, place, a, width, n, to, body in zip(*(c.to_pylist() for c in batch.columns[:7])):
-                if block != (key, place):
-                    yield from ended()
-                    block, held = (key, place), {}
-                if a not in held or n > held[a][1]:
-                    held[a] = (_opened(body, width), n, to, width)
-        yield from ended()
+            for block, other, a, body in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                own = np.frombuffer(body, np.uint64)
+                if not other:
+                    base = own
+                    continue
+                short, long = sorted((own, base), key=len)
+                at = np.searchsorted(long, short)
+                at[at == len(long)] = 0
+                inter = int((long[at] == short).sum())
+                out.append((a, block, inter, inter * DEN >= (len(own) + len(base) - inter) * NUM))
+            if len(out) > 20_000:
+                yield _rows(out, _FOUND)
+                out = []
+        if out:
+            yield _rows(out, _FOUND)
+
+    found = texts.join(F.broadcast(goals) if small else goals, "doc").select("doc", "text", "goals").mapInArrow(send, "block long, place int, other int, a long, body binary")
+    dealt = found.repartition(shuffle_parts(spark), "block", "place").sortWithinPartitions("block", "place", "other")
+    return stored(dealt.mapInArrow(compare, "a long, b long, inter long, linked boolean"), "verified")
 
-    found = docs.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, "block long, place int, a long, bits int, n int, to array<long>, body binary")
-    dealt = found.repartition(shuffle_parts(spark), "block", "place").sortWithinPartitions("block", "place")
-    return stored(dealt.mapInArrow(compare, "a long, b long, inter long, total long, slack long"), "compared")
 
+_SENT = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("other", pa.int32()), ("a", pa.int64()), ("body", pa.binary())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("linked", pa.bool_())])
+_RARE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``linked`` and ``d``, the distance (wrong by less than ``ROUGH``); pairs that the first bits leave open are compared on their whole sets."""
-    rough = compared(docs, pairs, sizes, whole=False)
 
-    def reaches(more: int):
-        inter = F.col("inter") + more * F.col("slack")
-        return inter * DEN >= (F.col("total") - more * F.col("slack")) * NUM
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    open_ = reaches(1) & ~reaches(-1)
-    sure = rough.where(~open_)
-    if rough.where(open_).limit(1).count():
-        sure = sure.union(compared(docs, rough.where(open_).select("a", "b"), sizes, whole=True))
-    return sure.select("a", "b", reaches(0).alias("linked"), (1 - F.col("inter") / F.col("total")).alias("d"))
 
+def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The second partition of the universe, over the documents of ``ids`` (``doc``, ``crowd``): each rare shingle is a segment, the frequent ones form one.
 
-def unshared(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc`` and ``u``: shingles of the document that no other document of ``ids`` has.
+    First table: ``doc``, ``u`` (its shingles that no other of these documents
+    has) and ``r`` (its rare ones, which at most ``HEAVY`` have).  Second table: ``a``, ``b`` and
+    ``shared``, the rare shingles that two crowded documents have in common.
 
-    Two of these documents differ by ``u`` of the one and ``u`` of the other at least.
+    Two of the documents differ by ``u_a + u_b`` shingles at least, two crowded ones by
+    ``r_a + r_b - 2 * shared``.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     arrow_ready(spark)
     parts = shuffle_parts(spark)
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)  # frequent by what this task has sent
         for b in steps(batches, most=_STEP):
             sets, size = shingle_sets(b.column(1))
-            found = list(bucketed(sets, np.repeat(b.column(0).to_numpy(), size), np.zeros(len(sets), np.int64), parts))
+            doc, crowd = (np.repeat(c, size) for c in (b.column(0).to_numpy(), b.column(2).to_numpy()))
+            order = np.argsort(sets, kind="stable")
+            order = order[~np.isin(sets[order], known)] if len(known) else order
+            rank, count = ranks(sets[order])
+            known = np.union1d(known, sets[order[count > HEAVY]])
+            order = order[rank <= HEAVY]  # one more than a rare shingle has
+            found = list(bucketed(sets[order], doc[order], crowd[order], parts))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
 
@@ -410,35 +406,97 @@ def unshared(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.setdefault(bucket, []).append(blob)
         for bucket in sorted(held):
-            token, doc = (np.concatenate(x) for x in list(zip(*map(unpack, held.pop(bucket))))[:2])
-            order = np.argsort(token)
-            token, doc = token[order], doc[order]
-            same = token[1:] == token[:-1]
-            ids, n = np.unique(doc[~(np.concatenate((same, [False])) | np.concatenate(([False], same)))], return_counts=True)
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["doc", "u"])
-
-    blobs = docs.join(some, "doc").select("doc", "text").mapInArrow(scatter, "bucket int, blob binary")
-    return stored(blobs.repartition(parts, "bucket").mapInArrow(count, "doc long, u long").groupBy("doc").agg(F.sum("u").alias("u")), "unshared")
-
-
-def _one_each(candidates: DataFrame) -> DataFrame:
-    """For each document its likeliest partner (``a``, ``b``, ``shared``)."""
-    return candidates.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select("a", "b")
+            token, doc, crowd = (np.concatenate(x) for x in zip(*map(unpack, held.pop(bucket))))
+            order = np.lexsort((doc, token))
+            token, doc, crowd = token[order], doc[order], crowd[order]
+            of = ranks(token)[1]
+            rare = of <= HEAVY
+            who, at = np.unique(doc[rare], return_inverse=True)
+            if len(who):
+                alone = np.bincount(at, of[rare] == 1, len(who)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(alone), pa.array(np.bincount(at, minlength=len(who)).astype(np.int64))], schema=_RARE)
+            some = np.flatnonzero(rare & (of > 1) & (crowd > 0))
+            for s in range(0, len(some), 50_000):
+                first = some[s : s + 50_000]
+                pairs = []
+                for step in range(1, HEAVY):
+                    first = first[first + step < len(token)]
+                    first = first[token[first + step] == token[first]]
+                    if not len(first):
+                        break
+                    both = first[crowd[first + step] > 0]
+                    pairs.append(np.stack((doc[both + step], doc[both])))
+                pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+                order = np.lexsort(pairs)
+                pairs = pairs[:, order]
+                new = np.ones(pairs.shape[1], bool)
+                new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+                starts = np.flatnonzero(new)
+                shared = np.diff(np.append(starts, len(new)))
+                for k in range(0, len(starts), 100_000):
+                    a, b = pairs[:, starts[k : k + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared[k : k + 100_000]), pa.nulls(len(a), pa.int64())], schema=_RARE)
+
+    blobs = texts.join(_sided(ids, 24), "doc").select("doc", "text", "crowd").mapInArrow(scatter, "bucket int, blob binary")
+    found = stored(blobs.repartition(parts, "bucket").mapInArrow(count, "a long, b long, x long, y long"), "rarities")
+    facts = found.where("b IS NULL").groupBy(F.col("a").alias("doc")).agg(F.sum("x").alias("u"), F.sum("y").alias("r"))
+    return facts, found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("x").alias("shared"))
+
+
+def _apart():
+    """H of the pair at hand."""
+    return F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
+
+
+def _sizes_fit():
+    return F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
+
+
+def _named(labels: DataFrame, name: str) -> DataFrame:
+    return labels.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
+
+
+def open_pairs(led: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of documents with one lead that may be linked though they share no rare shingle (``a``, ``b``, ``n_a``, ``n_b``).
+
+    They are of different components, so one at least is outside the largest one of the lead's group; one at
+    least is a core document; and they differ by their rare shingles and, of the lead's
+    others, by the difference of what they share with the lead.
+    """
+    known = tried.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "inter")
+    rows = led.join(known, ["doc", "lead"], "left").join(_named(labels, "doc"), "doc", "left")
+    rows = stored(rows.select("lead", "r_lead", "doc", "n", "r", _core().alias("core"), F.coalesce("inter", "n").alias("inter"), F.coalesce("c_doc", "doc").alias("c")), "led")
+    groups = rows.groupBy("lead", "c").count().groupBy("lead").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("components"))
+    groups = stored(groups.where("components > 1").select("lead", "main", F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("salts")), "groups")
+    rows = rows.join(_sided(groups, 32), "lead")
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "r", "core", "inter", "c")]
+    odd = rows.where("c <> main").select("lead", "r_lead", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("a"))
+    every = rows.select("lead", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), *side("b"))
+    differ = F.col("r_a") + F.col("r_b") + F.greatest(F.lit(0), F.abs(F.col("inter_a") - F.col("inter_b")) - F.col("r_lead"))
+    once = (F.col("c_b") == F.col("main")) | (F.col("doc_a") > F.col("doc_b"))
+    near = odd.join(every, ["lead", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & (F.col("core_a") | F.col("core_b")) & _sizes_fit() & (differ <= _apart()))
+    first = F.col("doc_a") > F.col("doc_b")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return near.select(pick("doc_a", "doc_b", "a"), pick("doc_b", "doc_a", "b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"))
+
+
+def _core():
+    """Two documents that aren't core differ by more than H in rare shingles alone, unless they share some."""
+    return F.col("r") * (DEN + NUM) <= F.col("n") * (DEN - NUM)
 
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each document."""
-    docs = one_row_each(documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")))
+    docs, names = numbered(documents, key, text)
     index = indexed(docs)
     facts = index.where("kind = 0").select("doc", "n", "fp_a", "fp_b")
     classes = facts.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc").alias("rep"))
     members = stored(facts.join(classes, ["n", "fp_a", "fp_b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     copies = members.where("doc <> rep").select("doc", "rep")
-    sizes = members.select("doc", "n")
+    sizes = members.where("doc = rep").select("doc", "n")
 
     groups = index.where("kind = 2").select("sig", "tag", "doc").join(copies, "doc", "left").select("sig", "tag", F.coalesce("rep", "doc").alias("doc")).distinct()
-    counts = groups.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc").alias("least"))
+    counts = groups.groupBy("sig").agg(F.count("*").alias("size"))
     groups = stored(groups.join(counts.where("size > 1"), "sig"), "groups")
     heavy_of = groups.where(F.col("size") > HEAVY).groupBy("doc", "tag").agg(F.count("*").alias("heavy"))
     signed = index.where("kind = 1").join(copies, "doc", "left").withColumn("doc", F.coalesce("rep", "doc"))
@@ -454,83 +512,47 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     pairs = firsts.select("tag", "b", F.explode(F.slice("docs", F.col("at") + 2, F.lit(HEAVY))).alias("a")).groupBy("tag", "a", "b").agg(F.count("*").alias("shared"))
     of = lambda name: segments.select("tag", F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("left").alias(f"left_{name}"), F.col("exact").alias(f"exact_{name}"))
     sized = pairs.join(of("a"), ["tag", "a"]).join(of("b"), ["tag", "b"])
-    apart = F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
-    close = sized.where((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (~F.col("exact_a") | (F.col("shared") >= F.greatest("left_a", "left_b") - apart)))
+    close = sized.where(_sizes_fit() & (~F.col("exact_a") | (F.col("shared") >= F.greatest("left_a", "left_b") - _apart())))
     light = stored(close.groupBy("a", "b").agg(F.max("shared").alias("shared")), "light")
 
-    # heavy groups: only the members that need them
+    # heavy groups: only the members that need them, and of these only what the rare shingles leave open
     crowds = stored(groups.where(F.col("size") > HEAVY).join(crowded, ["doc", "tag"]).select("sig", "doc"), "crowds")
-
-    # shingles that no other candidate has: a second lower bound, which large families of distant copies need
-    ids = stored(light.select(F.col("a").alias("doc")).union(light.select("b")).union(crowds.select("doc")).distinct(), "candidates")
-    own = stored(ids.join(sizes, "doc").join(unshared(docs, ids), "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u")), "own")
-    at = lambda name: own.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("u").alias(f"u_{name}"))
-    light = stored(light.join(at("a"), "a").join(at("b"), "b").where(_may_link()).select("a", "b", "shared"), "light")
+    ids = light.select(F.col("a").alias("doc"), F.lit(0).alias("crowd")).union(light.select("b", F.lit(0))).union(crowds.select("doc", F.lit(1)))
+    ids = stored(ids.groupBy("doc").agg(F.max("crowd").alias("crowd")), "candidates")
+    small = _sided(ids, 24)
+    texts = docs if small is not ids else stored(docs.join(ids.select("doc"), "doc", "left_semi").select("doc", "text"), "texts")
+    rare_of, rare = rarities(texts, ids)
+    own = stored(ids.join(sizes, "doc").join(rare_of, "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("r", F.lit(0)).alias("r")), "own")
+    at = lambda name: own.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "u", "r")])
+    light = stored(light.join(at("a"), "a").join(at("b"), "b").where(F.col("u_a") + F.col("u_b") <= _apart()).select("a", "b", "n_a", "n_b", "shared"), "light")
+    rare = rare.join(at("a"), "a").join(at("b"), "b").where(_sizes_fit() & (F.col("r_a") + F.col("r_b") - 2 * F.col("shared") <= _apart()))
+    rare = stored(rare.select("a", "b", "n_a", "n_b"), "rare")
     alone = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
-    crowds = stored(crowds.join(own, "doc").where(F.col("u") <= alone), "crowds")
-
-    def pivoted(rows: DataFrame, pivot) -> DataFrame:
-        best = rows.groupBy("sig").agg(pivot.alias("b"))
-        return _one_each(rows.join(best, "sig").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("shared")))
-
-    pivots = [F.min("doc"), F.max("doc"), F.min_by("doc", F.xxhash64("doc")), F.max_by("doc", F.xxhash64("doc"))]
-    first = _one_each(light.select("a", "b", "shared")).union(pivoted(crowds, pivots[0])).distinct()
-    tried = stored(verified(docs, stored(first, "pairs"), sizes), "tried")
-    step = 1
-    while True:
-        labels = components(tried.where("linked").select("a", "b"))
-        named = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
-        label = lambda name: F.coalesce(f"c_{name}", name)
-        done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = light.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(label("a") != label("b")).select("a", "b")
-        told = crowds.join(named("doc"), "doc", "left").select("sig", "doc", "n", "u", label("doc").alias("c"))
-        split = told.groupBy("sig").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high").select("sig")
-        told = told.join(split, "sig", "left_semi")
-        # other pivots bring nearly all members of a family together; then what none of them rules out
-        last = step >= len(pivots)
-        next_ = _open_pairs(told, tried) if last else pivoted(told, pivots[step])
-        todo = stored(more.union(next_).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        step += 1
-        if todo.limit(1).count():
-            tried = stored(tried.union(verified(docs, todo, sizes)), "tried")
-        elif last:
-            break
-        elif not told.limit(1).count():
-            step = len(pivots)
-
-    named = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return named.select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def _may_link():
-    """Whether the shingles that only one of two candidates has (``u_a``, ``u_b``) leave room for a link."""
-    return F.col("u_a") + F.col("u_b") <= F.floor((F.col("n_a") + F.col("n_b")) * (DEN - NUM) / (DEN + NUM))
-
-
-def _open_pairs(told: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of different components in a heavy group that no pivot rules out.
-
-    With distances d to a common pivot, two sets are linked only if these differ
-    by at most 1 - NUM/DEN (and what the distances may be wrong by).  Members whose
-    distance isn't known are compared in any case.
-    """
-    to_pivot = tried.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d")
-    low = told.groupBy("sig").agg(F.min("doc").alias("pivot"))
-    rows = told.join(low, "sig").join(to_pivot, ["doc", "pivot"], "left").select("sig", "doc", "c", "n", "u", F.when(F.col("doc") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-    # one side: members outside their group's largest component
-    big = rows.groupBy("sig", "c").count().groupBy("sig").agg(F.max_by("c", "count").alias("main"))
-    odd = rows.join(big, "sig").where("c <> main").select("sig", F.col("doc").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("d").alias("d_a"))
-    other = rows.select("sig", F.col("doc").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("d").alias("d_b"))
-    # cells of the distance: partners lie in the same cell or the next
-    width = 1.0 - NUM / DEN + 2 * ROUGH
-    top = int(1 / width)
-    every = F.array(*[F.lit(k) for k in range(top + 1)])
-    cell = lambda c: F.floor(F.col(c) / width).cast("int")
-    odd = odd.withColumn("cell", F.explode(F.when(F.col("d_a").isNull(), every).otherwise(F.array(cell("d_a") - 1, cell("d_a"), cell("d_a") + 1))))
-    other = other.withColumn("cell", F.explode(F.when(F.col("d_b").isNull(), every).otherwise(F.array(cell("d_b")))))
-    far = F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) > width, F.lit(False))
-    near = odd.join(other, ["sig", "cell"]).where((F.col("c_a") != F.col("c_b")) & ~far & _may_link())
-    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    crowds = crowds.join(own.where(F.col("r") <= alone).select("doc", "n", "r"), "doc")
+    # the lead of a group is its core document of the fewest rare shingles, so that a family has few
+    leads = crowds.where(_core()).groupBy("sig").agg(F.min(F.struct("r", "doc", "n")).alias("lead"))
+    led = crowds.join(leads, "sig").select("doc", "n", "r", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("n_lead"), F.col("lead.r").alias("r_lead"))
+    led = stored(led.distinct(), "led")
+
+    # first each document's likeliest partner and its leads, then what is still open between components
+    best = light.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("shared", -F.col("b"))).alias("x")).select("a", "x.b", "x.n_a", "x.n_b")
+    first = best.union(led.where("doc <> lead").select("doc", "lead", "n", "n_lead")).distinct()
+    tried = verified(texts, stored(first, "pairs"))
+    labels = components(tried.where("linked").select("a", "b"))
+    apart = light.drop("shared").union(rare).join(_named(labels, "a"), "a", "left").join(_named(labels, "b"), "b", "left")
+    apart = apart.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "n_a", "n_b")
+    done = tried.select("a", "b").union(tried.select("b", "a"))
+    rest = stored(apart.union(open_pairs(led, tried, labels)).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        labels = components(tried.union(verified(texts, rest)).where("linked").select("a", "b"))
+
+    labelled = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    if names is None:
+        return labelled.withColumnRenamed("doc", key)
+    # rows without an id of their own: a component is called by the least id that it has
+    told = stored(labelled.join(names.withColumn("odd", F.lit(True)), "doc", "left").select(F.when(F.col("odd"), F.col("name")).otherwise(F.col("doc")).alias(key), "n_shingles", "component_id"), "told")
+    least = told.groupBy("component_id").agg(F.min(key).alias("least"))
+    return told.join(least, "component_id").select(key, "n_shingles", F.col("least").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

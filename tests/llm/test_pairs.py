@@ -52,36 +52,76 @@ def brute_windows(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [3, 32])
+def families(seed):
+    """Texts that share a line and little else, copies of one text at all distances, and copies of copies."""
+    r = random.Random(seed)
+
+    def some(n):
+        return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    line, base, rows = some(14), some(120), []
+    for _ in range(40):
+        rows.append(line + some(r.randrange(0, 40)))
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(r.randrange(0, 9)):
+            at = r.randrange(len(copy))
+            copy[at : at + r.choice([0, 1, 1])] = [f"e{r.randrange(6)}"] * r.choice([0, 1, 1])
+        rows.append(copy)
+        if r.random() < 0.4:
+            near = list(copy)
+            near[r.randrange(len(near))] = "again"
+            rows.append(near)
+    rows += [base[: 120 - k] for k in range(0, 60, 4)]
+    r.shuffle(rows)
+    return list(enumerate(" ".join(w) for w in rows))
+
+
+@pytest.mark.parametrize("heavy", [3, 8, 32])
 def test_jaccard_components(spark, monkeypatch, heavy):
     monkeypatch.setattr(op10, "HEAVY", heavy)
-    monkeypatch.setattr(op10, "SMALL", 40)
-    monkeypatch.setattr(op10, "PIVOT_PAIRS", 4)
+    monkeypatch.setattr(op10, "PLACE_PAIRS", 4)
+    monkeypatch.setattr(op10, "GROUP_ROWS", 7)
+    if heavy == 8:
+        monkeypatch.setattr(op10, "BROADCAST_BYTES", 0)
     rows = corpus(heavy)
+    rows += [(1000 + i, t) for i, t in families(heavy)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r[0]: (r[1], r[2]) for r in op10.join_components(docs).collect()}
     assert found == brute_components(rows)
 
 
-def test_jaccard_of_ids_with_two_texts(spark):
-    """The largest set of an id counts, wherever its rows are, also where its smaller one is another id's only text."""
-    r = random.Random(6)
-    rows, largest = [], []
+def test_jaccard_lists_no_pairs_of_a_shared_line(spark, monkeypatch):
+    """Texts with one line in common share no rare shingle: none of their pairs is compared."""
+    compared = []
+    real = op10.verified
+    monkeypatch.setattr(op10, "HEAVY", 4)
+    monkeypatch.setattr(op10, "verified", lambda texts, pairs: compared.append(pairs.count()) or real(texts, pairs))
+    r = random.Random(2)
+    line = [f"w{r.randrange(10**9)}" for _ in range(14)]
+    rows = [(k, " ".join(line + [f"w{r.randrange(10**9)}" for _ in range(30)])) for k in range(60)]
+    found = op10.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({x["component_id"] for x in found}) == 60 and sum(compared) == 0
 
-    def some(n):
-        return [f"w{r.randrange(10**9)}" for _ in range(n)]
 
+def test_jaccard_of_rows_without_an_id_of_their_own(spark):
+    """Rows that repeat an id or have none are documents of their own; a component is called by its least id."""
+    r = random.Random(6)
+    rows = []
     for k in range(0, 160, 4):
-        large = some(129)
-        small, partner, other = some(112), large + some(40), some(140)
-        pair = [(k, large), (k, small)]
-        rows += [*r.sample(pair, 2), (k + 1, partner), *r.sample([(k + 2, other), (k + 2, large)], 2), (k + 3, other[:130])]
-        largest += [(k, large), (k + 1, partner), (k + 2, other), (k + 3, other[:130])]
+        large = [f"w{r.randrange(10**9)}" for _ in range(129)]
+        other = [f"w{r.randrange(10**9)}" for _ in range(140)]
+        rows += [(k, large), (k, large[:100]), (k + 1, other), (k, other[:130]), (None, large[5:]), (None, [f"w{r.randrange(10**9)}" for _ in range(30)]), (k + 2, None), (None, None)]
     r.shuffle(rows)
-    text = lambda rows: [(i, " ".join(w)) for i, w in rows]
-    docs = spark.createDataFrame(text(rows), "doc_id long, text string").repartition(3)
-    found = {x[0]: (x[1], x[2]) for x in op10.join_components(docs).collect()}
-    assert found == brute_components(text(largest))
+    text = [(i, None if w is None else " ".join(w)) for i, w in rows]
+    brute = brute_components([(k, t) for k, (_, t) in enumerate(text)])
+    least = {}
+    for k, (n, c) in brute.items():
+        if text[k][0] is not None:
+            least[c] = min(least.get(c, 10**9), text[k][0])
+    docs = spark.createDataFrame(text, "doc_id long, text string").repartition(3)
+    found = Counter(tuple(x) for x in op10.join_components(docs).collect())
+    assert found == Counter((text[k][0], n, least.get(c)) for k, (n, c) in brute.items())
 
 
 @pytest.mark.parametrize("common, heavy", [(64, 50_000), (2, 5)])
@@ -96,7 +136,7 @@ def test_windows_removed(spark, monkeypatch, common, heavy):
 
 def test_nulls_empty_and_extra_columns(spark):
     docs = spark.createDataFrame([(None, "a b c", 1, 2), (1, None, 1, 2)], "doc_id long, text string, doc long, component_id long")
-    assert [tuple(r) for r in op10.join_components(docs).collect()] == [(1, 0, 1)]
+    assert sorted((tuple(r) for r in op10.join_components(docs).collect()), key=str) == [(1, 0, 1), (None, 1, None)]
     assert sorted((r[0] or 0, r[1], r[2]) for r in op9.deduplicated(docs).collect()) == [(0, 3, 0), (1, 0, 0)]
     none = docs.where("false")
     assert op10.join_components(none).count() == 0 and op9.deduplicated(none).count() == 0
