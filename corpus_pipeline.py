@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import op1_quality, op3_decontamination, op4_sharding, op6_mixing, op10_jaccard
-from siftwell.llm.shared import scratch
+from siftwell.llm.shared import scratch, stored
 
 _ID = "__decided_id"
 
@@ -36,15 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op10_jaccard.join_components(docs.select("doc_id", "text"))
-    kept = _without(docs, found.where("doc_id <> component_id").select("doc_id"))
     again = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    # rows that share an id: one of them stays
-    named = again.withColumnRenamed("doc_id", _ID)
-    several = kept.join(named, kept["doc_id"] == named[_ID], "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, again).unionByName(several)
+    if again.limit(1).count():  # rows that share an id: one of them stays
+        named = again.withColumnRenamed("doc_id", _ID)
+        several = docs.join(named, docs["doc_id"] == named[_ID], "left_semi").dropDuplicates(["doc_id"])
+        docs = stored(_without(docs, again).unionByName(several), "single")
+    found = op10_jaccard.join_components(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
+    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
