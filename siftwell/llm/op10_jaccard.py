@@ -24,9 +24,9 @@ candidates unread.
 Crowded sets (too few usable segments without heavy signatures: boilerplate,
 families of near copies) get a second partition of the universe, by frequency
 among the candidates: the frequent shingles form one segment without a budget, each
-rare shingle (at most ``HEAVY`` sets) is a segment of its own.  Pairs that share rare
-shingles are candidates if these leave room for a link.  A linked pair that shares
-none has a core set (hardly any rare shingle) in it; such pairs are sought in
+rare shingle (at most ``RARE`` sets) is a segment of its own.  A set is indexed by its rarest
+ones, as many as no linked set can lack; pairs that share some are candidates if these leave room for a link.  A linked pair that shares
+none consists of sets with few rare shingles, one of them a core set (hardly any); such pairs are sought in
 the heavy groups, through the group's lead, with which all members are compared
 first: only pairs of different components, not separated by their rare
 shingles and what they share with the lead, are compared.  No pair is listed
@@ -51,6 +51,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Sets that may share a signature before it is heavy.
 HEAVY = 32
+#: Candidates that may have a shingle for it to be rare.
+RARE = 8
 #: Weight of candidates in the cost of a plan.
 CROWDING = 3.0
 #: Pairs, and shingles of them, that are verified in one place.
@@ -365,26 +368,36 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 _SENT = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("other", pa.int32()), ("a", pa.int64()), ("body", pa.binary())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("linked", pa.bool_())])
-_RARE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+_RARE = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("level", pa.int32()), ("times", pa.int64()), ("docs", pa.list_(pa.int64()))])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def levels() -> int:
+    """Classes of rare shingles by the number of documents that have them: 1, 2, up to 4 ... up to ``RARE``."""
+    return (RARE - 1).bit_length() + 1
+
+
+def _sums(doc: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Rows of a document and its counts, by ranges of a hash of the document."""
+    bucket = ((mix(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    for k in np.unique(bucket).tolist():
+        at = bucket == k
+        yield k, zstandard.ZstdCompressor(level=1).compress(np.diff(doc[at], prepend=0).tobytes() + np.ascontiguousarray(counts[at].T).tobytes())
+
+
 def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The second partition of the universe, over the documents of ``ids`` (``doc``, ``crowd``): each rare shingle is a segment, the frequent ones form one.
 
-    First table: ``doc``, ``u`` (its shingles that no other of these documents
-    has) and ``r`` (its rare ones, which at most ``HEAVY`` have).  Second table: ``a``, ``b`` and
-    ``shared``, the rare shingles that two crowded documents have in common.
-
-    Two of the documents differ by ``u_a + u_b`` shingles at least, two crowded ones by
-    ``r_a + r_b - 2 * shared``.
+    First table: ``doc`` and ``upto``, for each level the number of its shingles of that
+    level and below.  Second table: the rare shingles that several crowded documents
+    have (``id``, ``level``, ``docs``); ``times`` of them have the same documents.
     """
     spark = texts.sparkSession
     arrow_ready(spark)
-    parts = shuffle_parts(spark)
+    parts, wide = shuffle_parts(spark), levels()
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)  # frequent by what this task has sent
@@ -394,8 +407,8 @@ def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = np.argsort(sets, kind="stable")
             order = order[~np.isin(sets[order], known)] if len(known) else order
             rank, count = ranks(sets[order])
-            known = np.union1d(known, sets[order[count > HEAVY]])
-            order = order[rank <= HEAVY]  # one more than a rare shingle has
+            known = np.union1d(known, sets[order[count > RARE]])
+            order = order[rank <= RARE]  # one more than a rare shingle has
             found = list(bucketed(sets[order], doc[order], crowd[order], parts))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
@@ -410,37 +423,64 @@ def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = np.lexsort((doc, token))
             token, doc, crowd = token[order], doc[order], crowd[order]
             of = ranks(token)[1]
-            rare = of <= HEAVY
-            who, at = np.unique(doc[rare], return_inverse=True)
+            rare = of <= RARE
+            token, doc, crowd = token[rare], doc[rare], crowd[rare]
+            level = np.ceil(np.log2(of[rare])).astype(np.int64)
+            who, at = np.unique(doc, return_inverse=True)
             if len(who):
-                alone = np.bincount(at, of[rare] == 1, len(who)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(alone), pa.array(np.bincount(at, minlength=len(who)).astype(np.int64))], schema=_RARE)
-            some = np.flatnonzero(rare & (of > 1) & (crowd > 0))
-            for s in range(0, len(some), 50_000):
-                first = some[s : s + 50_000]
-                pairs = []
-                for step in range(1, HEAVY):
-                    first = first[first + step < len(token)]
-                    first = first[token[first + step] == token[first]]
-                    if not len(first):
-                        break
-                    both = first[crowd[first + step] > 0]
-                    pairs.append(np.stack((doc[both + step], doc[both])))
-                pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-                order = np.lexsort(pairs)
-                pairs = pairs[:, order]
-                new = np.ones(pairs.shape[1], bool)
-                new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-                starts = np.flatnonzero(new)
-                shared = np.diff(np.append(starts, len(new)))
-                for k in range(0, len(starts), 100_000):
-                    a, b = pairs[:, starts[k : k + 100_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared[k : k + 100_000]), pa.nulls(len(a), pa.int64())], schema=_RARE)
+                counts = np.bincount(at * wide + level, minlength=len(who) * wide).reshape(-1, wide)
+                sums = list(_sums(who, counts, parts))
+                yield _rows([(k, x, None, None, None, None) for k, x in sums], _RARE)
+            some = crowd > 0
+            token, doc, level = token[some], doc[some], level[some]
+            size = ranks(token)[1]
+            token, doc, level, size = (c[size > 1] for c in (token, doc, level, size))
+            start = 0
+            lists: dict[bytes, list] = {}
+            while start < len(token):
+                end = start + int(size[start])
+                lists.setdefault(doc[start:end].tobytes(), [int(token[start].view(np.int64)), int(level[start]), 0])[2] += 1
+                start = end
+                if len(lists) >= 20_000 or start >= len(token):
+                    yield _rows([(None, None, *facts, np.frombuffer(key, np.int64)) for key, facts in lists.items()], _RARE)
+                    lists = {}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, counts = [np.zeros(0, np.int64)], [np.zeros((0, wide), np.int64)]
+        for b in batches:
+            for blob in b.column(1).to_pylist():
+                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+                n = len(raw) // (wide + 1)
+                docs.append(np.cumsum(raw[:n]))
+                counts.append(raw[n:].reshape(wide, n).T)
+        who, at = np.unique(np.concatenate(docs), return_inverse=True)
+        total = np.zeros((len(who), wide), np.int64)
+        np.add.at(total, at, np.concatenate(counts))
+        for k in range(0, len(who), 50_000):
+            upto = np.cumsum(total[k : k + 50_000], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(who[k : k + 50_000]), pa.array(list(upto), pa.list_(pa.int64()))], ["doc", "upto"])
 
     blobs = texts.join(_sided(ids, 24), "doc").select("doc", "text", "crowd").mapInArrow(scatter, "bucket int, blob binary")
-    found = stored(blobs.repartition(parts, "bucket").mapInArrow(count, "a long, b long, x long, y long"), "rarities")
-    facts = found.where("b IS NULL").groupBy(F.col("a").alias("doc")).agg(F.sum("x").alias("u"), F.sum("y").alias("r"))
-    return facts, found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("x").alias("shared"))
+    found = stored(blobs.repartition(parts, "bucket").mapInArrow(count, "bucket int, blob binary, id long, level int, times long, docs array<long>"), "rarities")
+    sums = found.where("bucket IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket").mapInArrow(add, "doc long, upto array<long>")
+    return sums, found.where("bucket IS NULL").select("id", "level", "times", "docs")
+
+
+def rare_pairs(lists: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs of crowded documents that share rare shingles and that these leave room for a link (``a``, ``b``, ``n_a``, ``n_b``).
+
+    A document takes part with its rarest shingles, level by level, until these are
+    more than a linked partner may lack (``reach``; if there are too few, with all rare ones).
+    What two documents have in common up to the lesser reach tells how much they differ there.
+    """
+    each = lists.select("id", "level", "times", F.explode("docs").alias("doc")).join(own.where("reach > 0").select("doc", "reach"), "doc").where("level <= reach")
+    again = each.groupBy("id", "times").agg(F.sort_array(F.collect_list("doc")).alias("docs")).where(F.size("docs") > 1)
+    firsts = again.select("times", "docs", F.posexplode("docs").alias("at", "b"))
+    pairs = firsts.select("times", "b", F.explode(F.slice("docs", F.col("at") + 2, F.lit(RARE))).alias("a")).groupBy("a", "b").agg(F.sum("times").alias("shared"))
+    at = lambda name: own.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "reach", "upto")])
+    level = F.least("reach_a", "reach_b", F.lit(levels() - 1)) + 1
+    differ = F.element_at("upto_a", level) + F.element_at("upto_b", level) - 2 * F.col("shared")
+    return pairs.join(at("a"), "a").join(at("b"), "b").where(_sizes_fit() & (differ <= _apart())).select("a", "b", "n_a", "n_b")
 
 
 def _apart():
@@ -461,20 +501,26 @@ def open_pairs(led: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame
 
     They are of different components, so one at least is outside the largest one of the lead's group; one at
     least is a core document; and they differ by their rare shingles and, of the lead's
-    others, by the difference of what they share with the lead.
+    others, by the difference of what they share with the lead; that holds for each lead that both have.
     """
     known = tried.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "inter")
     rows = led.join(known, ["doc", "lead"], "left").join(_named(labels, "doc"), "doc", "left")
     rows = stored(rows.select("lead", "r_lead", "doc", "n", "r", _core().alias("core"), F.coalesce("inter", "n").alias("inter"), F.coalesce("c_doc", "doc").alias("c")), "led")
     groups = rows.groupBy("lead", "c").count().groupBy("lead").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("components"))
     groups = stored(groups.where("components > 1").select("lead", "main", F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("salts")), "groups")
-    rows = rows.join(_sided(groups, 32), "lead")
-    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "r", "core", "inter", "c")]
+    # what each document shares with all its leads: a pair that one of them separates is not open
+    leads = rows.groupBy("doc").agg(F.collect_list(F.struct("lead", "inter", "r_lead")).alias("leads"))
+    rows = rows.join(_sided(groups, 32), "lead").join(leads, "doc")
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "r", "core", "inter", "c", "leads")]
     odd = rows.where("c <> main").select("lead", "r_lead", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("a"))
     every = rows.select("lead", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), *side("b"))
-    differ = F.col("r_a") + F.col("r_b") + F.greatest(F.lit(0), F.abs(F.col("inter_a") - F.col("inter_b")) - F.col("r_lead"))
+    own = F.col("r_a") + F.col("r_b")
+    differ = own + F.greatest(F.lit(0), F.abs(F.col("inter_a") - F.col("inter_b")) - F.col("r_lead"))
     once = (F.col("c_b") == F.col("main")) | (F.col("doc_a") > F.col("doc_b"))
-    near = odd.join(every, ["lead", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & (F.col("core_a") | F.col("core_b")) & _sizes_fit() & (differ <= _apart()))
+    near = (F.col("c_a") != F.col("c_b")) & once & (F.col("core_a") | F.col("core_b")) & _sizes_fit() & (differ <= _apart())
+    both = lambda x, y: x["lead"] == y["lead"]
+    excluded = lambda x, y: both(x, y) & ((x["lead"] < F.col("lead")) | (own + F.abs(x["inter"] - y["inter"]) - x["r_lead"] > _apart()))  # noqa: E731  by that lead, or left to an earlier one
+    near = odd.join(every, ["lead", "salt"]).where(near & ~F.exists("leads_a", lambda x: F.exists("leads_b", lambda y: excluded(x, y))))
     first = F.col("doc_a") > F.col("doc_b")
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     return near.select(pick("doc_a", "doc_b", "a"), pick("doc_b", "doc_a", "b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b"))
@@ -490,7 +536,8 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     docs, names = numbered(documents, key, text)
     index = indexed(docs)
     facts = index.where("kind = 0").select("doc", "n", "fp_a", "fp_b")
-    classes = facts.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc").alias("rep"))
+    classes = facts.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("doc").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    classes = _sided(stored(classes, "classes"), 40)  # only sets of several documents
     members = stored(facts.join(classes, ["n", "fp_a", "fp_b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
     copies = members.where("doc <> rep").select("doc", "rep")
     sizes = members.where("doc = rep").select("doc", "n")
@@ -521,17 +568,19 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     ids = stored(ids.groupBy("doc").agg(F.max("crowd").alias("crowd")), "candidates")
     small = _sided(ids, 24)
     texts = docs if small is not ids else stored(docs.join(ids.select("doc"), "doc", "left_semi").select("doc", "text"), "texts")
-    rare_of, rare = rarities(texts, ids)
-    own = stored(ids.join(sizes, "doc").join(rare_of, "doc", "left").select("doc", "n", F.coalesce("u", F.lit(0)).alias("u"), F.coalesce("r", F.lit(0)).alias("r")), "own")
-    at = lambda name: own.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "u", "r")])
+    rare_of, lists = rarities(texts, ids)
+    upto = F.coalesce("upto", F.array_repeat(F.lit(0).cast("long"), levels()))
+    own = ids.join(sizes, "doc").join(rare_of, "doc", "left").select("doc", "crowd", "n", upto.alias("upto"))
+    enough = F.floor(F.col("n") * (DEN - NUM) / DEN)
+    reach = F.coalesce(*[F.when(F.get("upto", F.lit(k)) > enough, k) for k in range(levels())], F.lit(levels()))
+    own = stored(own.select("*", F.get("upto", F.lit(0)).alias("u"), F.get("upto", F.lit(levels() - 1)).alias("r"), reach.alias("reach")), "own")
+    at = lambda name: own.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("u").alias(f"u_{name}"))
     light = stored(light.join(at("a"), "a").join(at("b"), "b").where(F.col("u_a") + F.col("u_b") <= _apart()).select("a", "b", "n_a", "n_b", "shared"), "light")
-    rare = rare.join(at("a"), "a").join(at("b"), "b").where(_sizes_fit() & (F.col("r_a") + F.col("r_b") - 2 * F.col("shared") <= _apart()))
-    rare = stored(rare.select("a", "b", "n_a", "n_b"), "rare")
-    alone = F.floor((F.col("n") + F.floor(F.col("n") * DEN / NUM)) * (DEN - NUM) / (DEN + NUM))
-    crowds = crowds.join(own.where(F.col("r") <= alone).select("doc", "n", "r"), "doc")
+    rare = stored(rare_pairs(lists, own.where("crowd = 1")), "rare")
+    crowds = stored(crowds.join(own.where(F.col("reach") == levels()).select("doc", "n", "r"), "doc"), "crowds")
     # the lead of a group is its core document of the fewest rare shingles, so that a family has few
-    leads = crowds.where(_core()).groupBy("sig").agg(F.min(F.struct("r", "doc", "n")).alias("lead"))
-    led = crowds.join(leads, "sig").select("doc", "n", "r", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("n_lead"), F.col("lead.r").alias("r_lead"))
+    leads = stored(crowds.where(_core()).groupBy("sig").agg(F.min(F.struct("r", "doc", "n")).alias("lead")), "leads")
+    led = crowds.join(_sided(leads, 40), "sig").select("doc", "n", "r", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("n_lead"), F.col("lead.r").alias("r_lead"))
     led = stored(led.distinct(), "led")
 
     # first each document's likeliest partner and its leads, then what is still open between components

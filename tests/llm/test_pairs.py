@@ -80,6 +80,7 @@ def families(seed):
 @pytest.mark.parametrize("heavy", [3, 8, 32])
 def test_jaccard_components(spark, monkeypatch, heavy):
     monkeypatch.setattr(op10, "HEAVY", heavy)
+    monkeypatch.setattr(op10, "RARE", min(heavy, 5))
     monkeypatch.setattr(op10, "PLACE_PAIRS", 4)
     monkeypatch.setattr(op10, "GROUP_ROWS", 7)
     if heavy == 8:
@@ -96,6 +97,7 @@ def test_jaccard_lists_no_pairs_of_a_shared_line(spark, monkeypatch):
     compared = []
     real = op10.verified
     monkeypatch.setattr(op10, "HEAVY", 4)
+    monkeypatch.setattr(op10, "RARE", 4)
     monkeypatch.setattr(op10, "verified", lambda texts, pairs: compared.append(pairs.count()) or real(texts, pairs))
     r = random.Random(2)
     line = [f"w{r.randrange(10**9)}" for _ in range(14)]
