@@ -6,9 +6,9 @@ its mask.  Verdicts under any policy, and what each rule rejects alone
 (``ablations``), come from the stored bits by bitwise aggregation; texts are not
 read again.
 
-Nothing is shuffled: a row's words stay in its row, as arrays.  Repeated 3-word
-windows are found by sorting a text's own windows, and only for texts in which
-some window occurs twice.
+Nothing is shuffled: a row's words stay in its row, as arrays.  Words and 3-word
+windows are compared within their text by 64-bit hashes; repeated windows are found by sorting a
+text's own hashes, and only for texts in which some window occurs twice.
 
 Defined results: a null text has no words; rows keep a null id; repeated rows are
 measured one by one; an empty table gives an empty ledger and empty ablations;
@@ -61,7 +61,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(_WORD))
     n = F.size("words")
     first = df.select(F.struct("*").alias("row"), body.alias("body"), words.alias("words"), lines.alias("lines"))
-    grams = F.when(n >= 3, F.transform(F.slice("words", F.lit(1), n - 2), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<string>"))
+    # windows as hashes: a long text's take a few bytes each, not three words
+    first = first.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    grams = F.when(n >= 3, F.transform(F.slice("hashes", F.lit(1), n - 2), lambda w, i: F.xxhash64(w, F.get("hashes", i + 1), F.get("hashes", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     second = first.select(
         "row",
         n.cast("long").alias("n_words"),
@@ -70,11 +72,11 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: w.rlike("^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$"))).cast("long").alias("n_upper_words"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
+        F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct_words"),
         grams.alias("grams"),
     )
     pair = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    third = second.select("row", *[m for m in MEASURES if m != "n_repeat_words"], F.when(F.size(F.array_distinct("grams")) < F.size("grams"), pair).otherwise(F.array().cast("array<struct<g:string,i:int>>")).alias("pairs"))
+    third = second.select("row", *[m for m in MEASURES if m != "n_repeat_words"], F.when(F.size(F.array_distinct("grams")) < F.size("grams"), pair).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")).alias("pairs"))
     again = F.transform("pairs", lambda p, k: F.when((p["g"] == F.get("pairs", k - 1)["g"]) | (p["g"] == F.get("pairs", k + 1)["g"]), p["i"]))
     places = F.sort_array(F.filter(again, lambda i: i.isNotNull()))
     empty = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
