@@ -10,9 +10,11 @@
    size depends on the grid, not on the corpus.
 3. Projected gradient descent finds nonnegative rates whose expected domain token
    totals match the targets in the least-squares sense, relative to the present
-   totals.  Each step is one distributed aggregation; only one number for each
-   domain reaches the driver.  A document's rate follows from its posteriors and
-   the steps' residuals.
+   totals.  A rate depends on the posteriors alone, so a step's sums over all documents are
+   sums over the classes, whose token totals one distributed aggregation gives; there are at most
+   (``GRID`` + 1) * (``GRID`` + 2) / 2 of them, whatever the size of the corpus.  Steps are accelerated,
+   with restarts, and go on until the targets are met to ``CLOSE`` or nothing changes any more
+   (``STILL``: the optimum of targets that can't be met).
 
 ``TARGETS`` are weights of the mixture.  The first domain sets the scale: its
 target is its present total, the others' follow from the weights.
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0}
+# a weight of zero would take every document in the least doubt, clean ones too
+TARGETS = {"clean": 0.98, "low": 0.019, "toxic": 0.001}
 #: Labelled rows used for fitting, about, at most.
 SAMPLE = 20_000
 #: Weights kept.
@@ -48,13 +51,15 @@ VOCABULARY = 4_096
 #: Labelled documents that must have a feature; or two, if they are this part of a domain's rows.
 LEAST_DOCS = 15
 #: Least weight times the root of the documents of a feature: below, differences are chance.
-LEAST_GAIN = 8.0
+LEAST_GAIN = 6.0
 #: Rows at the mean rate that each domain is taken to have besides its own.
 SMOOTHING = 4.0
+#: Least weight in some domain: common words differ a little between all domains, and together, so that they would outvote the telling ones.
+LEAST_WEIGHT = 1.6
 GRID = 32
-STEP = 1.0
-STEPS = 40
-CLOSE = 1e-4
+CLOSE, STILL = 1e-6, 1e-12
+#: Steps after which the descent is taken to have failed; a few thousand are usual.
+MOST_STEPS = 200_000
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -76,6 +81,11 @@ def shape(body: Column) -> Column:
     return F.array(share(r"[#*$%&|<>!]+", "symbols"), share(r"[A-Z]+", "upper"))
 
 
+def variety(words: Column) -> Column:
+    """A coarse mark of how many of a text's words are distinct."""
+    return F.concat(F.lit("#distinct"), F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(F.size(words), F.lit(1))).cast("string"))
+
+
 def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``rid``, the key, ``n_tokens`` (words) and ``feature``, one row for each feature of a row."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -83,7 +93,7 @@ def featured(docs: DataFrame, key: str, text: str) -> DataFrame:
     one = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), body.alias("body"))
     two = one.select("rid", "doc_id", "body", words.alias("words"))
     n = F.size("words") - F.size(F.filter("words", lambda w: w == ""))
-    three = two.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat(F.array_distinct("words"), shape(F.col("body"))).alias("features"))
+    three = two.select("rid", "doc_id", n.cast("long").alias("n_tokens"), F.concat(F.array_distinct("words"), shape(F.col("body")), F.array(variety(F.col("words")))).alias("features"))
     return three.select("rid", "doc_id", "n_tokens", F.explode_outer("features").alias("feature"))  # apart: what stands beside an explode is computed for each of its rows; outer: never empty, so no filter on its size need be computed below the joins
 
 
@@ -107,10 +117,11 @@ def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str =
     import math
 
     k = range(len(DOMAINS))
-    chosen, every = sampled(docs, domains, key)
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    chosen, every = sampled(docs, domains)
     if not sum(every):
         return None, None
-    texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col(key) == F.col("__id")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), "domain")
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")
     ids = texts.groupBy("domain").count().collect()  # a row for each domain
     count = [sum(r["count"] for r in ids if r["domain"] == d) for d in k]
     total = sum(count)
@@ -121,12 +132,16 @@ def fitted(docs: DataFrame, domains: DataFrame, key: str = "doc_id", text: str =
     mean = (all_n + 0.5) / F.lit(total + 1.0)
     rate = [(F.col(f"n{d}") + SMOOTHING * mean) / F.lit(count[d] + SMOOTHING) for d in k]  # a domain of few rows stays near the mean
     mean, rate = F.least(mean, F.lit(0.999)), [F.least(r, F.lit(0.999)) for r in rate]
-    weights = [F.log(r * (1 - mean) / (mean * (1 - r))) for r in rate]
-    absent = [F.log((1 - r) / (1 - mean)) for r in rate]
+    # what at most one row of a domain has, or would be expected to have, says nothing
+    seen_by = [F.greatest(F.col(f"n{d}") - 1, F.lit(float(count[d])) * mean - 1, F.lit(0.0)) for d in k]
+    trust = [F.when(c > 0, 1.0).otherwise(0.0) for c in seen_by]
+    weights = [t * F.log(r * (1 - mean) / (mean * (1 - r))) for t, r in zip(trust, rate)]
+    absent = [t * F.log((1 - r) / (1 - mean)) for t, r in zip(trust, rate)]
     gain = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) * F.sqrt(all_n.cast("double")) for w, c in zip(weights, count) if c])
+    telling = reduce(F.greatest, [F.lit(0.0)] + [F.abs(w) for w, c in zip(weights, count) if c])
     often = reduce(lambda so_far, d: so_far | (F.col(f"n{d}") >= max(2, count[d] / LEAST_DOCS)), k, all_n >= LEAST_DOCS)  # a rare domain has its own features too
-    picked = seen.where(often).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], *[w.alias(f"o{d}") for d, w in zip(k, absent)], gain.alias("gain"))
-    kept = stored(picked.where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(VOCABULARY).drop("gain"), "weights")
+    picked = seen.where(often).select("feature", *[w.alias(f"w{d}") for d, w in zip(k, weights)], *[w.alias(f"o{d}") for d, w in zip(k, absent)], gain.alias("gain"), telling.alias("telling"))
+    kept = stored(picked.where((F.col("gain") >= LEAST_GAIN) & (F.col("telling") >= LEAST_WEIGHT)).drop("telling").orderBy(F.desc("gain"), "feature").limit(VOCABULARY).drop("gain"), "weights")
     none = kept.agg(*[F.coalesce(F.sum(f"o{d}"), F.lit(0.0)) for d in k]).first()  # what a text without any feature says
     base = [math.log(c / sum(every)) + none[d] if c else -math.inf for d, c in enumerate(every)]
     return base, kept.select("feature", *[f"w{d}" for d in k])
@@ -151,47 +166,64 @@ def posteriors(docs: DataFrame, priors: list[float] | None, weights: DataFrame |
     return gridded.withColumns({"leader": leader, "rest": rest}).select("doc_id", "n_tokens", *[(F.col(f"g{d}") + F.when(F.col("leader") == d, F.col("rest")).otherwise(0)).cast("int").alias(f"q{d}") for d in k])
 
 
-def rate_of(residuals: list[list[float]], step: float = STEP) -> Column:
-    """The rate after the steps whose relative residuals are given: r <- max(0, r - step * sum of q * residual)."""
-    if not residuals:
-        return F.lit(1.0)
-    moves = F.array(*[F.struct(*[F.lit(float(e)).alias(f"e{d}") for d, e in enumerate(es)]) for es in residuals])
-    slope = lambda m: sum((F.col(f"q{d}") * m[f"e{d}"] for d in range(len(DOMAINS))), F.lit(0.0)) / GRID
-    return F.aggregate(moves, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - F.lit(step) * slope(m)))
+def descend(classes: list[tuple], targets: dict[str, float], grow: bool = True) -> list[float]:
+    """The rate of each class (``q0`` ..., ``tokens``).
 
-
-def descend(classes: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """The residuals of each step over ``classes`` (``q0`` ..., ``tokens``)."""
+    Without ``grow`` no domain is asked for more than is there.
+    In the metric of the token totals the step of 1 is that of the gradient's
+    Lipschitz constant: the squared deviations are weighted by the present totals.
+    """
     k = range(len(DOMAINS))
+    share = [[c[d] / GRID for d in k] for c in classes]
+    tokens = [float(c[len(DOMAINS)] or 0) for c in classes]
+    begin = [sum(t * q[d] for t, q in zip(tokens, share)) for d in k]
+    base = [max(b, 1e-9 * sum(begin), 1e-9) for b in begin]
+    scale = begin[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else sum(begin)
+    wanted = [scale * targets[d] if b else 0.0 for d, b in zip(DOMAINS, begin)]  # nothing can be reached where there is nothing
+    if not grow:
+        wanted = [min(w, b) for w, b in zip(wanted, begin)]
+
+    def off(rates: list[float]) -> list[float]:
+        return [(sum(t * r * q[d] for t, r, q in zip(tokens, rates, share)) - wanted[d]) / base[d] for d in k]
+
+    rate = ahead = [1.0] * len(classes)
+    speed = 1.0
+    for _ in range(MOST_STEPS):
+        e = off(ahead)
+        new = [max(0.0, y - sum(q[d] * e[d] for d in k)) for y, q in zip(ahead, share)]
+        if max((abs(a - b) for a, b in zip(new, ahead)), default=0.0) < STILL or max(map(abs, off(new))) < CLOSE:
+            return new
+        if sum(t * (y - n) * (n - r) for t, y, n, r in zip(tokens, ahead, new, rate)) > 0:
+            speed, ahead = 1.0, new  # it went too far
+        else:
+            faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+            ahead = [n + (speed - 1) / faster * (n - r) for n, r in zip(new, rate)]
+            speed = faster
+        rate = new
+    raise ArithmeticError("the rates do not converge")
+
+
+def rates_of(classes: DataFrame, targets: dict[str, float], grow: bool = True) -> DataFrame:
+    """``q0`` ... and ``rate`` of each class."""
+    q = [f"q{d}" for d in range(len(DOMAINS))]
+    rows = [tuple(r) for r in classes.select(*q, "tokens").orderBy(*q).collect()]  # bounded by the grid
+    values = ", ".join(f"({', '.join(map(str, row[:-1]))}, {rate!r}D)" for row, rate in zip(rows, descend(rows, targets, grow)))
+    none = ", ".join(["0"] * len(q)) + ", 1.0D"
+    return classes.sparkSession.sql(f"SELECT * FROM VALUES {values or f'({none})'} AS t({', '.join(q)}, rate)")
 
-    def totals(residuals: list[list[float]]) -> list[float]:
-        rate = classes.withColumn("rate", rate_of(residuals))
-        row = rate.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"q{d}") / GRID), F.lit(0.0)) for d in k]).first()
-        return list(row)
 
-    begin = totals([])
-    least = max(1e-9 * sum(begin), 1e-9)
-    base = [max(b, least) for b in begin]
-    scale = begin[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else sum(begin)
-    wanted = [scale * targets[d] for d in DOMAINS]
-    residuals, now = [], begin
-    for _ in range(STEPS):
-        off = [(a - t) / b if a or t else 0.0 for a, t, b in zip(now, wanted, base)]
-        if max(map(abs, off)) < CLOSE:
-            break
-        residuals.append([min(max(e, -4.0), 4.0) for e in off])
-        now = totals(residuals)
-    return residuals
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: ``doc_id``, ``n_tokens``, ``p_<domain>`` and ``rate``."""
-    priors, weights = fitted(docs, domain_of(labels), key, text)
-    scored = stored(posteriors(docs, priors, weights, key, text), "posteriors")
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", grow: bool = True) -> DataFrame:
+    """One row for each document: ``doc_id``, ``n_tokens``, ``p_<domain>`` and ``rate``; without ``grow`` no domain gets a target above its present total."""
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))  # other columns may have any names
+    priors, weights = fitted(docs, domain_of(labels))
+    scored = posteriors(docs, priors, weights)
     q = [f"q{d}" for d in range(len(DOMAINS))]
-    classes = stored(scored.groupBy(*q).agg(F.sum("n_tokens").alias("tokens")), "classes")
-    rate = rate_of(descend(classes, targets) if weights is not None else [])
-    return scored.select("doc_id", "n_tokens", *[(F.col(c) / GRID).alias(f"p_{d}") for c, d in zip(q, DOMAINS)], rate.alias("rate"))
+    shares = [(F.col(c) / GRID).alias(f"p_{d}") for c, d in zip(q, DOMAINS)]
+    if weights is None:
+        return scored.select("doc_id", "n_tokens", *shares, F.lit(1.0).alias("rate"))
+    scored = stored(scored, "posteriors")
+    rates = rates_of(scored.groupBy(*q).agg(F.sum("n_tokens").alias("tokens")), targets, grow)
+    return scored.join(F.broadcast(rates), q).select("doc_id", "n_tokens", *shares, "rate")
 
 
 def drawn(key: str = "doc_id") -> Column:

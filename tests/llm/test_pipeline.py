@@ -45,24 +45,47 @@ def test_held_out_accuracy(spark, tables):
     assert found.where(F.col("q0") + F.col("q1") + F.col("q2") != op6.GRID).count() == 0
 
 
-def test_rates_meet_targets(spark):
-    r = np.random.default_rng(2)
-    q = r.multinomial(op6.GRID, [0.7, 0.2, 0.1], 50)
-    tokens = r.integers(50, 500, 50)
-    classes = spark.createDataFrame([(*map(int, a), int(t)) for a, t in zip(q, tokens)], "q0 int, q1 int, q2 int, tokens long")
-    targets = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
-    residuals = op6.descend(classes, targets)
-    rates = np.array([x.rate for x in classes.withColumn("rate", op6.rate_of(residuals)).collect()])
+def least_squares(q, tokens, want, base):
+    """The least weighted squared deviation over all nonnegative rates, by trying every set of positive ones."""
+    a = (q / op6.GRID * tokens[:, None]).T / base[:, None] * np.sqrt(base)[:, None]
+    b = want / base * np.sqrt(base)
+    best = float(b @ b)
+    for picked in range(1, 1 << len(q)):
+        on = [k for k in range(len(q)) if picked >> k & 1]
+        x = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+        if (x >= 0).all():
+            best = min(best, float(((a[:, on] @ x - b) ** 2).sum()))
+    return best
+
+
+@pytest.mark.parametrize("seed, targets", [(2, (0.8, 0.15, 0.05)), (3, (0.98, 0.019, 0.001)), (4, (1.0, 0.0, 0.0)), (5, (0.1, 0.1, 0.8)), (6, (0.5, 0.0, 0.5))])
+def test_rates_are_the_optimum(seed, targets):
+    r = np.random.default_rng(seed)
+    q = r.multinomial(op6.GRID, [0.7, 0.2, 0.1], 7)
+    if seed % 2:
+        q[:3] = op6.GRID * np.eye(3, dtype=int)
+    tokens = r.integers(50, 5000, 7)
+    rates = np.array(op6.descend([(*map(int, a), int(t)) for a, t in zip(q, tokens)], dict(zip(op6.DOMAINS, targets))))
     share = q / op6.GRID
     base = share.T @ tokens
-    want = np.array([base[0], base[0] * 0.15 / 0.8, base[0] * 0.05 / 0.8])
-    mine = np.ones(50)
-    for _ in range(len(residuals)):  # the same steps in plain Python
-        off = np.clip((share.T @ (mine * tokens) - want) / base, -4, 4)
-        mine = np.maximum(0, mine - op6.STEP * share @ off)
-    assert np.allclose(rates, mine) and (rates >= 0).all()
-    got = share.T @ (rates * tokens)
-    assert (np.abs(got - want) / base).max() < (np.abs(base - want) / base).max()
+    want = base[0] / targets[0] * np.array(targets)
+    off = (share.T @ (rates * tokens) - want) / base
+    assert (rates >= 0).all()
+    least = least_squares(q, tokens.astype(float), want, base)
+    assert float((base * off * off).sum()) <= least + 1e-6 * max(1.0, least)
+    if least < 1e-9:
+        assert np.abs(off).max() < 1e-4
+
+
+def test_mixing_meets_targets_beside_clashing_columns(spark, tables):
+    docs, labels = tables
+    names = ["domain", "__id", "rate", "feature", "rid", "n_tokens"]
+    found = op6.mixed(docs.select("*", *[F.lit("x").alias(n) for n in names]), labels)
+    assert found.columns == ["doc_id", "n_tokens", "p_clean", "p_low", "p_toxic", "rate"] and found.count() == 600
+    kinds = op6.DOMAINS
+    was, now = (found.agg(*[F.sum(F.col(f"p_{d}") * F.col("n_tokens") * w).alias(d) for d in kinds]).first() for w in (F.lit(1.0), F.col("rate")))
+    for d in kinds:
+        assert abs(now[d] - was["clean"] * op6.TARGETS[d] / op6.TARGETS["clean"]) < 1e-3 * was[d]
 
 
 def test_mixing_without_labels(spark, tables):
