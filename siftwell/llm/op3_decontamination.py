@@ -13,8 +13,9 @@ The phrases searched for are a stated query set; they reach the tasks in blocks
 of at most ``BLOCK_BYTES`` of item text, so what is broadcast is bounded.
 
 Defined results: a null text or a text without words has no words, no hits and
-no items; a null or wordless item is never found; equal items are found each on
-their own; repeated documents are searched row by row; an empty table gives an
+no items; a null or wordless item is never found; equal items, also of one id, are found each on
+their own; item ids are numbers or strings, a null one counts and is the empty
+string in the digest; repeated documents are searched row by row; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -37,7 +38,7 @@ WINDOW = 10
 #: Bytes of text in a segment, about.
 SEGMENT_BYTES = 4 << 20
 #: Bytes of item text that one search takes to the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 _SEGMENT = "row_ids array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, sizes array<int>, postings binary"
 
@@ -140,13 +141,13 @@ def windows(texts: list[str | None]) -> tuple[list[str], dict[int, tuple[np.ndar
         size = min(WINDOW, hi - lo)
         for at in range(lo, hi - size + 1) if size else ():
             found.setdefault(size, {}).setdefault(tuple(codes[at : at + size].tolist()), set()).add(item)
-    by_size = {size: (np.array(list(w)), [np.array(sorted(items)) for items in w.values()]) for size, w in found.items()}
+    by_size = {size: (np.array(list(w), np.int32), [np.array(sorted(items)) for items in w.values()]) for size, w in found.items()}
     return coded.dictionary.to_pylist(), by_size
 
 
-def search(index: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
     """Per document: ``hits`` (its hit word numbers, packed bits), ``items`` (ids of items with a window in it)."""
-    ids = np.array([i for i, _ in items], np.int64)
+    ids = [i for i, _ in items]
     terms, by_size = windows([t for _, t in items])
     sent = index.sparkSession.sparkContext.broadcast((ids, terms, by_size))
 
@@ -165,15 +166,15 @@ def search(index: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
                         starts.append(start)
                         sizes.append(np.full(len(start), size))
                         for row in set(s.row_of[start].tolist()):
-                            found[row].update(ids[owners[w]].tolist())
+                            found[row].update(owners[w].tolist())
             hit = covered(int(s.first[-1]), np.concatenate(starts), np.concatenate(sizes))
             bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(s.first[:-1], s.first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [s.row_ids, s.doc_ids, pa.array(s.counts), pa.array(bits, pa.binary()), pa.array([sorted(f) for f in found], pa.list_(pa.int64()))],
+                [s.row_ids, s.doc_ids, pa.array(s.counts), pa.array(bits, pa.binary()), pa.array([[ids[k] for k in sorted(f)] for f in found], pa.list_(pa.string()))],
                 ["row_id", "doc_id", "n_words", "hits", "items"],
             )
 
-    return index.mapInArrow(look, "row_id long, doc_id long, n_words long, hits binary, items array<long>")
+    return index.mapInArrow(look, "row_id long, doc_id long, n_words long, hits binary, items array<string>")
 
 
 def proximity(index: DataFrame, queries: dict[str, list[str]], slop: int) -> DataFrame:
@@ -191,10 +192,10 @@ def proximity(index: DataFrame, queries: dict[str, list[str]], slop: int) -> Dat
     return index.mapInArrow(look, "query string, doc_id long, n long")
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
     """The query set in blocks of at most ``BLOCK_BYTES`` of text (or one item)."""
     block, size = [], 0
-    for row in items.select(F.col(key).cast("long"), F.col(text)).orderBy(key).toLocalIterator():
+    for row in items.select(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).toLocalIterator():
         n = len((row[1] or "").encode())
         if block and size + n > BLOCK_BYTES:
             yield block
@@ -207,12 +208,12 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[in
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document with its hit words and the items found in it."""
     index = stored(build_index(docs, key, text), "postings")
-    parts = [search(index, block) for block in item_blocks(items.where(F.col(item_key).isNotNull()), item_key, item_text)]
+    parts = [search(index, block) for block in item_blocks(items, item_key, item_text)]
     if len(parts) > 1:
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
-        found = found.groupBy("row_id", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        found = found.groupBy("row_id", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     else:
         found = parts[0].withColumn("hits", F.array("hits"))
 
@@ -221,7 +222,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             n_hit, sha = [], []
             for hits, items in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in hits])).sum()))
-                sha.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
+                sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
             n = pa.array(n_hit, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), b.column(2), n, pc.list_value_length(b.column(4)).cast(pa.int64()), pa.array(sha, pa.string()), pc.greater(n, 0)],
