@@ -1,19 +1,24 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides a block
-by where it stands (menus, forms, asides, adverts, comments and the like are
-out; the inside of ``article`` or ``main`` is in), by link density, by length and
-by stop-word density.  Short blocks and those of middling density stay ambiguous.
-In the second pass each of these takes the label of its nearest decided
-neighbours; where they differ, the nearer one counts, and at equal distance a
-block of middling density is kept and a short one is not.  On a page without any
-decided block all ambiguous ones are kept.
+A page is cut into blocks at block-level tags.  The first pass judges each block by
+stop-word density, length and link density.  Where it stands is evidence: menus, forms,
+asides, footers and what is plainly named as advert, comments and the like
+are out; inside ``article`` or ``main`` a block is never out for being short, terse
+or linked; a name that only hints at such a part (``related-work``, ``login-issues``)
+makes a block ambiguous unless it reads as prose.  Short blocks and those of middling density
+stay ambiguous.  In the second pass each of these takes the label of its
+nearest decided neighbours, in an article those of the same article; where they differ, the nearer one counts, and at equal distance a
+block of middling density is kept and a short one is not.  Without any
+decided block, in the article or on the page, all ambiguous ones are kept.
 
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined in page order by one space.  Nothing is capped.
 
-Defined results: a null or empty page has an empty text; unclosed and unknown
-tags are tolerated, a tag that never ends is text; rows keep null ids and urls;
+The scan is one pass: its time grows with the length of the page, also for unclosed tags and quotes.
+
+Defined results: a null or empty page has an empty text; unknown tags are
+tolerated, a tag that never ends is text; an unclosed ``script`` or ``style`` takes the rest of the page, any other
+unclosed tag or comment loses no text; rows keep null ids and urls;
 repeated pages give repeated rows; an empty table gives an empty result; other
 columns are not read.
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,41 +60,78 @@ STOP_WORDS = frozenset(
 SHORT = 70
 DENSE, MIDDLING = 0.30, 0.12
 LINKS = 0.5
+#: Open containers among which an end tag seeks its start.
+DEEPEST = 500
+
+#: Words that beside a bad name leave it plain: ``comments-section`` is one, ``comments-policy`` only hints.
+PLAIN_PARTS = frozenset("area bar block bottom box btn button buttons container content div fixed float form global group heading inner item items left link links list mini module outer page panel primary right row section secondary site sticky sub thread title top ul unit wrap wrapper zone".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"""[<>"']""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
-def _named_bad(attributes: str) -> bool:
+def _named(attributes: str) -> int:
+    """What the names in a tag say: -1 plainly not main text, 1 a hint at that, 0 nothing."""
     if not attributes:
-        return False
+        return 0
+    hint = 0
     for name, value in _NAMES.findall(attributes):
-        parts = _PART.split(value.strip("\"'").lower())
-        if not (BAD_ROLES if name.lower() == "role" else BAD_NAMES).isdisjoint(parts):
-            return True
-    return bool(_HIDDEN.search(attributes))
+        bad = BAD_ROLES if name.lower() == "role" else BAD_NAMES
+        for token in value.strip("\"'").lower().split():
+            parts = [p for p in _PART.split(token) if p]
+            if not bad.isdisjoint(parts):
+                if all(p in bad or p in PLAIN_PARTS or p.isdigit() for p in parts):
+                    return -1
+                hint = 1
+    return -1 if _HIDDEN.search(attributes) else hint
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``: its ``>`` outside quotes, or if there is none before the next ``<`` the first one."""
+    here = at
+    while m := _MARK.search(page, here):
+        if m[0] == ">":
+            return m.start()
+        close = -1 if m[0] == "<" else page.find(m[0], m.end())
+        if close < 0:
+            break
+        here = close + 1
+    return page.find(">", at)
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """The page's blocks: text, characters of it in links, and where it stands (1 inside the article, -1 outside, 0 unknown)."""
-    found: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int]] = []
+class Block(NamedTuple):
+    """A block's text, how many of its characters are in links, where it stands (1 in an article, -1 outside, 0 unknown), the
+    number of its article and whether a name hints that it isn't main text."""
+
+    text: str
+    linked: int
+    place: int
+    article: int = 0
+    hinted: bool = False
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    found: list[Block] = []
+    stack: list[tuple[str, int, int, bool]] = []
     part: list[str] = []
-    linked, in_link, place, at = 0, False, 0, 0
+    linked, in_link, at, articles = 0, False, 0, 0
+    place, article, hinted = 0, 0, False
+    no_end: set[str] = set()  # tags that are not closed any more
 
     def flush() -> None:
         nonlocal part, linked
         if part:
             text = " ".join(html_lib.unescape("".join(part)).split())
             if text:
-                found.append((text, linked, place))
+                found.append(Block(text, linked, place, article, hinted))
         part, linked = [], 0
 
-    size = len(page)
+    size, last = len(page), page.rfind(">")
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
@@ -100,22 +143,38 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 linked += len(piece)
         if begin == size:
             break
-        m = _TOKEN.match(page, begin) or _LOOSE.match(page, begin)
-        if not m:
+        if page.startswith("<!--", begin) and "!" not in no_end:
+            end = page.find("-->", begin + 4)
+            if end >= 0:
+                at = end + 3
+                continue
+            no_end.add("!")
+        m = _OPEN.match(page, begin)
+        if begin > last or not (m or page[begin + 1 : begin + 2] in ("!", "?")):
             part.append("<")
             at = begin + 1
             continue
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m:
+            at = (begin + 4 if page.startswith("<!--", begin) else page.find(">", begin) + 1)
+            continue
+        end = _tag_end(page, m.end())
+        if end < 0:
+            part.append("<")
+            at = begin + 1
             continue
-        tag = tag.lower()
+        attributes, at = page[m.end() : end], end + 1
+        tag = m[2].lower()
         if not m[1] and tag in DROPPED_TAGS:
             if tag in BLOCK_TAGS:
                 flush()
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I).search(page, at)
-                at = (end.start() if end[0].lower().startswith("<body") else end.end()) if end else (size if tag not in ("head", "title") else at)
+            if not attributes.rstrip().endswith("/") and tag not in no_end:
+                close = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I).search(page, at)
+                if close:
+                    at = close.start() if close[0].lower().startswith("<body") else close.end()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    no_end.add(tag)
             continue
         if tag == "a":
             in_link = not m[1]
@@ -125,19 +184,23 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         flush()
         if tag in STACKED_TAGS:
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
                 in_link = False
-            elif not m[3].endswith("/"):
-                above = stack[-1][1] if stack else 0
-                if above < 0 or tag in BAD_TAGS or tag == "header" and above == 0 or tag != "body" and _named_bad(m[3]):
-                    here = -1
-                else:
-                    here = 1 if tag in GOOD_TAGS else above
-                stack.append((tag, here))
-            place = stack[-1][1] if stack else 0
+            elif not attributes.endswith("/"):
+                _, place, article, hinted = stack[-1] if stack else ("", 0, 0, False)
+                name = 0 if tag == "body" or place < 0 else _named(attributes)
+                if place < 0 or name < 0 or tag in BAD_TAGS or tag == "header" and place == 0:
+                    place = -1
+                elif tag in GOOD_TAGS:
+                    if not place:
+                        articles += 1
+                        article = articles
+                    place = 1
+                stack.append((tag, place, article, hinted or name > 0))
+            _, place, article, hinted = stack[-1] if stack else ("", 0, 0, False)
     flush()
     return found
 
@@ -147,29 +210,36 @@ def stop_density(text: str) -> float:
     return sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words)
 
 
-def decide(found: list[tuple[str, int, int]]) -> list[bool]:
+def decide(found: list[Block]) -> list[bool]:
     """Which blocks belong to the main text."""
     labels: list[int | None] = []
     middling: set[int] = set()
-    for k, (text, linked, place) in enumerate(found):
-        if place < 0 or linked > LINKS * len(text) and place == 0:
+    for k, b in enumerate(found):
+        size = len(b.text)
+        if b.place < 0:
             labels.append(-1)
-        elif place > 0:
+            continue
+        links = b.linked > LINKS * size
+        density = 0.0 if size < SHORT or links else stop_density(b.text)
+        if density >= DENSE:
             labels.append(1)
-        elif len(text) < SHORT:
+        elif b.place > 0:
             labels.append(None)
+        elif links:
+            labels.append(-1)
         else:
-            density = stop_density(text)
-            if density < DENSE:
+            if size >= SHORT:
                 middling.add(k)
-            labels.append(1 if density >= DENSE else None if density >= MIDDLING or len(text) < 3 * SHORT else -1)
+            labels.append(None if density >= MIDDLING or size < 3 * SHORT or b.hinted else -1)
     decided = [k for k, label in enumerate(labels) if label is not None]
-    if not decided:
-        return [True] * len(found)
     kept, before = [], -1
     for k, label in enumerate(labels):
         if label is not None:
             before += 1
+        elif found[k].place > 0:
+            label = 1  # by its decided neighbours in the article, which are all in, or for want of any
+        elif not decided:
+            label = 1
         else:
             left = decided[before] if before >= 0 else None
             right = decided[before + 1] if before + 1 < len(decided) else None
@@ -186,7 +256,7 @@ def decide(found: list[tuple[str, int, int]]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The page's main text."""
     found = blocks(page or "")
-    return " ".join(text for (text, _, _), keep in zip(found, decide(found)) if keep)
+    return " ".join(b.text for b, keep in zip(found, decide(found)) if keep)
 
 
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
