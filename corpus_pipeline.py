@@ -4,7 +4,8 @@
 2. near_duplicates: of each group of linked documents the one with the smallest id stays.
 3. decontamination: documents with a passage of a benchmark item go.
 4. mixing: each document stays with the probability of its rate; rates of 1 and
-   more keep it once, so the scaling domain (clean) stays whole.
+   more keep it once, so the scaling domain (clean) stays whole, and a domain that is
+   below its target is left as it is.
 5. sharding: a reproducible shuffle; adds place, shard and slot.
 
 Every stage works on all that its predecessor kept and all but the last return
@@ -51,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op6_mixing.mixed(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = op6_mixing.mixed(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), grow=False)
     out = found.where((op6_mixing.drawn() >= F.col("rate")) & F.col("doc_id").isNotNull()).select("doc_id")
     return _without(docs, out)
 
