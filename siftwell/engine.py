@@ -101,7 +101,7 @@ class Index:
         loaded = dump.merged([dump.phase(self.spark, r, self.spec.id) for r in todo], self.spec.id)
         kinds = {f.name: f for f in self.spec.fields}
         typed = [F.col(c).cast(kinds[c].data_type()).alias(c) if c in kinds else F.col(c) for c in loaded.columns]
-        self.table = mutate.patch(self.table, loaded.select(*typed), self.spec, insert=True)
+        self.table = mutate.patch(self.table, dump.kept(loaded.select(*typed), self.spec.id), self.spec, insert=True)
         for r in todo:
             self.manifest.loaded(r)
         return True

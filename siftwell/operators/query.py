@@ -31,6 +31,13 @@ def _after(cursor: Cursor, sort: Sort | None, spec: IndexSpec) -> Column:
     if sort is None or sort.field == spec.id:
         return beyond(key, cursor.id)
     value = sort_value(sort, spec)
+    if down and cursor.sort_value > 0:  # no value of the field that sorts as 0 ties: missing and negative ones follow
+        plain = F.col(sort.field)
+        rest = plain.isNull() | (plain < cursor.sort_value)
+        return rest | ((plain == cursor.sort_value) & beyond(key, cursor.id))
+    if not down and cursor.sort_value > 0:
+        plain = F.col(sort.field)
+        return (plain > cursor.sort_value) | ((plain == cursor.sort_value) & beyond(key, cursor.id))
     return beyond(value, cursor.sort_value) | ((value == cursor.sort_value) & beyond(key, cursor.id))
 
 

@@ -31,12 +31,12 @@ def value_counts(table: DataFrame, field: str, spec: IndexSpec) -> DataFrame:
 
 def distinct_values(table: DataFrame, fields: list[str], spec: IndexSpec) -> DataFrame:
     """One row: the number of distinct values of each field."""
-    def of(name: str) -> Column:
-        if spec.field(name).multi:
-            return F.size(F.array_distinct(F.flatten(F.collect_set(name)))).cast("long")
-        return F.count_distinct(name)
-
-    return table.agg(*[of(n).alias(n) for n in fields])
+    single = [n for n in fields if not spec.field(n).multi]
+    found = table.agg(*[F.count_distinct(n).alias(n) for n in single], F.count("*").alias("_rows"))
+    for name in (n for n in fields if spec.field(n).multi):
+        one = table.select(F.explode(name).alias("v")).distinct().agg(F.count("v").alias(name))
+        found = found.crossJoin(one)  # one row each
+    return found.select(*fields)
 
 
 def dictionary(table: DataFrame, field: str, spec: IndexSpec, order: str | None = None) -> DataFrame:

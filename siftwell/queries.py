@@ -572,7 +572,7 @@ _FLAT_SQL = f"""fl AS (SELECT "user" AS u, id AS seq, CASE WHEN kind = 'click' T
  UNION ALL SELECT u, CASE WHEN net > 0 THEN 'add' ELSE 'remove' END, 'tags', tag::VARCHAR FROM tg UNION ALL SELECT u, 'delete', NULL, NULL FROM dead""",
 )
 def ops_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return op_batches.dedup(op_batches.flat(_op_batch(spark, sf))).select("entity_id", "op", "field", "value")
+    return op_batches.dedup(op_batches.flat(_op_batch(spark, sf)), _OPS).select("entity_id", "op", "field", "value")
 
 
 def _user_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -603,6 +603,53 @@ def ops_fanout(spark: SparkSession, sf: str) -> DataFrame:
     return op_batches.apply(_user_table(spark, sf), batch, _OPS)
 
 
+@query(
+    "ops_multi_set",
+    f"""WITH e AS (SELECT "user" AS u, id, cents % 5 AS tag, CASE WHEN kind = 'click' THEN 's' WHEN kind = 'view' THEN 'a' ELSE 'r' END AS k FROM {E_SQL} t),
+ ls AS (SELECT u, max(id) AS at, arg_max(tag, id) AS tag FROM e WHERE k = 's' GROUP BY 1),
+ af AS (SELECT e.u, e.tag, arg_max(e.k, e.id) AS last, sum(CASE e.k WHEN 'a' THEN 1 ELSE -1 END) AS net, ls.u IS NOT NULL AS was FROM e LEFT JOIN ls USING (u) WHERE k <> 's' AND (ls.at IS NULL OR e.id > ls.at) GROUP BY 1, 2, 5),
+ g AS (SELECT u, coalesce(list(tag) FILTER (WHERE CASE WHEN was THEN last = 'a' ELSE net > 0 END), []) AS ad, coalesce(list(tag) FILTER (WHERE CASE WHEN was THEN last = 'r' ELSE net < 0 END), []) AS rm FROM af GROUP BY 1),
+ ids AS (SELECT c_custkey AS u FROM customer UNION SELECT u FROM e)
+ SELECT i.u AS id, list_sort(list_distinct(list_concat(list_filter(CASE WHEN ls.u IS NOT NULL THEN [ls.tag, 10 + ls.tag] WHEN c_custkey IS NOT NULL THEN [c_custkey % 5] ELSE [] END, lambda x: NOT list_contains(coalesce(rm, []), x)), coalesce(ad, [])))) AS tags
+ FROM ids i LEFT JOIN customer ON c_custkey = i.u LEFT JOIN ls ON ls.u = i.u LEFT JOIN g ON g.u = i.u""",
+)
+def ops_multi_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Sets, adds and removes of one field of several values: what comes after the last set applies to it."""
+    e = events(spark, sf)
+    tag = (F.col("cents") % 5).alias("tag")
+    ops = F.when(F.col("kind") == "click", F.array(op("set", "tags", F.array(tag, tag + 10)))).when(F.col("kind") == "view", F.array(op("add", "tags", tag))).otherwise(F.array(op("remove", "tags", tag)))
+    batch = e.select(F.col("user").alias("entity_id"), F.col("id").alias("seq"), F.lit(True).alias("creates_slot"), ops.alias("ops"))
+    return op_batches.apply(_user_table(spark, sf), batch, _OPS).select("id", "tags")
+
+
+@query("ops_invalid", f"SELECT id AS seq, CASE WHEN id % 5 = 0 THEN 'unknown operation' WHEN id % 5 = 1 THEN 'id out of range' WHEN id % 5 = 2 THEN 'unknown field' ELSE 'add on a field of one value' END AS error FROM {E_SQL} t WHERE id % 5 <> 4")
+def ops_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations that can't apply, each with its error."""
+    e, k = events(spark, sf), F.col("id") % 5
+    one = op("set", "score", F.col("cents"))
+    ops = F.when(k == 0, F.array(op("odd", "score", F.col("cents")))).when(k == 2, F.array(op("set", "nope", F.col("cents")))).when(k == 3, F.array(op("add", "score", F.col("cents")))).otherwise(F.array(one))
+    batch = e.select(F.when(k == 1, -F.col("user") - 1).otherwise(F.col("user")).alias("entity_id"), F.col("id").alias("seq"), F.lit(True).alias("creates_slot"), ops.alias("ops"))
+    return op_batches.invalid(op_batches.flat(batch), _OPS).select("seq", "error")
+
+
+@query("patch_pairs", f"SELECT id, CASE WHEN id % 3 = 0 THEN cust + 1 ELSE cust END AS cust, price FROM {O_SQL} t")
+def patch_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Old and new values; every third old value is the row's own, and only there the new one applies."""
+    rows = orders(spark, sf)
+    pairs = rows.where("id % 2 = 0 OR id % 3 = 0").select("id", F.when(F.col("id") % 3 == 0, F.col("cust")).otherwise(F.col("cust") + 5).alias("old_cust"), (F.col("cust") + 1).alias("new_cust"))
+    return mutate.patch_pairs(rows, pairs, ORDERS).select("id", "cust", "price")
+
+
+@query("load_phases_keep", f"SELECT o.id, o.cust, coalesce(p.price, o.price) AS price FROM (SELECT id, cust, CASE WHEN id % 4 = 0 THEN cust ELSE price END AS price FROM {O_SQL} t) o LEFT JOIN (SELECT id, 7 AS price FROM {O_SQL} t WHERE id % 5 = 0) p ON o.id = p.id")
+def load_phases_keep(spark: SparkSession, sf: str) -> DataFrame:
+    """Two phases over a table: a phase without a value for a field leaves it as it was."""
+    rows = orders(spark, sf).select("id", "cust", "price")
+    one = rows.where("id % 4 = 0").select("id", F.col("cust").alias("price"))
+    two = rows.where("id % 5 = 0").select("id", F.lit(7).cast("long").alias("price"))
+    three = rows.where("id % 2 = 0").select("id", F.col("cust").alias("cust"))
+    return mutate.patch(rows, dump.kept(dump.merged([one, two, three], "id"), "id"), ORDERS, insert=True).select("id", "cust", "price")
+
+
 @query(
     "cdc_diff",
     f"""WITH a AS (SELECT * FROM {O_SQL} t WHERE id % 11 <> 0), b AS (SELECT id, status, CASE WHEN id % 3 = 0 THEN cust + 1 ELSE cust END AS cust, CASE WHEN id % 5 = 0 THEN NULL ELSE price END AS price FROM {O_SQL} t WHERE id % 13 <> 0)
@@ -631,9 +678,9 @@ def rows_as_ops(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).select("entity_id", F.size("ops").alias("n_ops"))
 
 
-@query("parent_to_children", "SELECT o_orderkey AS entity_id, c_acctbal > 0 AS rich FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 4 = 0")
+@query("parent_to_children", "SELECT o_orderkey AS entity_id, c_acctbal > 0 AS rich FROM orders JOIN customer ON c_custkey = o_custkey")
 def parent_to_children(spark: SparkSession, sf: str) -> DataFrame:
-    parents = _read(spark, sf, "customer").where("c_custkey % 4 = 0").select("c_custkey", (F.col("c_acctbal") > 0).alias("rich"))
+    parents = _read(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("rich"))
     found = changes.parent_to_children(parents, "c_custkey", _read(spark, sf, "orders"), "o_custkey", "o_orderkey", {"rich": "rich"})
     return found.select("entity_id", (F.col("ops")[0]["value"] == "true").alias("rich"))
 

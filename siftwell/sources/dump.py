@@ -184,6 +184,13 @@ def merged(phases: list[DataFrame], id: str = "id") -> DataFrame:
     return reduce(two, phases)
 
 
+def kept(rows: DataFrame, id: str = "id") -> DataFrame:
+    """Merged phases as a patch: a field that no phase has a value for stays as it was (``_present`` names the others)."""
+    names = [c for c in rows.columns if c != id]
+    present = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in names]), lambda c: c.isNotNull())
+    return rows.withColumn("_present", present)
+
+
 def backfill(table: DataFrame, pairs: DataFrame, target: str, value_column: str, id: str = "id") -> DataFrame:
     """A filter-only multi-value field from (id, value) pairs."""
     sets = pairs.groupBy(id).agg(F.sort_array(F.collect_set(value_column)).alias(target))

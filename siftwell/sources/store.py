@@ -31,14 +31,21 @@ class TableStore:
         return sorted(done)
 
     def versions(self) -> list[int]:
-        return sorted(int(e[5:]) for e in self._entries() if e.startswith("base-"))
+        return sorted(int(e[5:13]) for e in self._entries() if e.startswith("base-"))
 
-    def save(self, table: DataFrame) -> int:
-        """Writes a new base version."""
+    def has(self, mark: str) -> bool:
+        """Whether a version was saved with this mark."""
+        return any(e.startswith("base-") and e[14:] == mark for e in self._entries())
+
+    def save(self, table: DataFrame, mark: str = "") -> int:
+        """Writes a new base version; ``mark`` says what it is of and is part of its name."""
         version = (self.versions() or [0])[-1] + 1
-        table.write.mode("overwrite").parquet(f"{self.path}/base-{version:08d}")
+        table.write.mode("overwrite").parquet(f"{self.path}/base-{version:08d}{'-' + mark if mark else ''}")
         return version
 
+    def _base(self, version: int) -> str:
+        return next(f"{self.path}/{e}" for e in self._entries() if e.startswith(f"base-{version:08d}"))
+
     def append(self, changes: DataFrame) -> None:
         """Writes changed rows over the newest base; later deltas win."""
         version = self.versions()[-1]
@@ -50,7 +57,7 @@ class TableStore:
     def load(self, spec: IndexSpec, version: int | None = None) -> DataFrame:
         """The table of a version: its base with its deltas applied."""
         version = version or self.versions()[-1]
-        base = self.spark.read.parquet(f"{self.path}/base-{version:08d}")
+        base = self.spark.read.parquet(self._base(version))
         deltas = [e for e in self._entries() if e.startswith(f"delta-{version:08d}-")]
         return overlaid(base, [self.spark.read.parquet(f"{self.path}/{d}") for d in deltas], spec)
 

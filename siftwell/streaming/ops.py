@@ -34,61 +34,76 @@ def rescheduled(ops: DataFrame, spec: IndexSpec, now: int | None) -> DataFrame:
     return ops.withColumn("op", F.when(future, "set").otherwise(F.col("op")))
 
 
-def invalid(ops: DataFrame, spec: IndexSpec) -> DataFrame:
-    """Operations that can't apply, with an ``error``: unknown kind or field, add on a field of one value, id out of range."""
+def _error(spec: IndexSpec) -> Column:
+    """Why an operation can't apply, or null: unknown kind or field, add on a field of one value, id out of range."""
     names = [f.name for f in spec.fields]
     single = [f.name for f in spec.fields if not f.multi]
     on_field = F.col("op").isin("set", "remove", "add")
-    error = F.when(~F.col("op").isin(*KINDS), "unknown operation").when(~valid_id(F.col("entity_id")), "id out of range")
+    error = F.when(~F.coalesce(F.col("op").isin(*KINDS), F.lit(False)), "unknown operation").when(~F.coalesce(valid_id(F.col("entity_id")), F.lit(False)), "id out of range")
     error = error.when(on_field & ~F.coalesce(F.col("field").isin(names), F.lit(False)), "unknown field").when((F.col("op") == "add") & F.col("field").isin(single), "add on a field of one value")
-    error = error.when((F.col("op") == "queryOpSet") & F.col("query").isNull(), "no query")
-    return ops.withColumn("error", error).where("error IS NOT NULL")
+    return error.when((F.col("op") == "queryOpSet") & F.col("query").isNull(), "no query")
+
+
+def invalid(ops: DataFrame, spec: IndexSpec) -> DataFrame:
+    """Operations that can't apply, with an ``error``."""
+    return ops.withColumn("error", _error(spec)).where("error IS NOT NULL")
 
 
 def valid(ops: DataFrame, spec: IndexSpec) -> DataFrame:
-    bad = invalid(ops, spec).select("entity_id", "seq", "pos")
-    return ops.join(bad, ["entity_id", "seq", "pos"], "left_anti")
+    return ops.where(_error(spec).isNull())
+
 
+def _net(ops: DataFrame, keys: list[str], multi: list[str]) -> DataFrame:
+    """Field operations of each key reduced: ``op``, ``field``, ``value``, ``phase`` and ``at`` (order within the phase).
 
-def _net(ops: DataFrame, keys: list[str]) -> DataFrame:
-    """Field operations of each key reduced: ``op``, ``field``, ``value``, ``phase`` and ``at`` (order within the phase)."""
+    A field of one value keeps its last set and the remove before it; after a
+    last remove nothing is set.  A field of several values (``multi``) keeps its last set, and of each value what is
+    left of the adds and removes after it: they apply in the order of arrival.
+    """
     at = F.struct("seq", "pos")
+    several = F.col("field").isin(multi)
     is_set = F.col("op") == "set"
     by_field = ops.groupBy(*keys, "field").agg(
-        F.max(is_set).alias("scalar"),
+        F.max(is_set).alias("was_set"),
+        F.max(F.when(is_set, at)).alias("set_at"),
         F.max_by(F.when(is_set, F.col("value")), F.when(is_set, at)).alias("last_set"),
         F.max_by("value", F.when(F.col("op") == "remove", at)).alias("last_remove"),
         F.max(F.col("op") == "remove").alias("removes"),
-        F.max_by("op", at).alias("last_op"),
+        F.max_by("op", F.when(F.col("op") != "add", at)).alias("last_op"),
         F.min(at).alias("at"),
     )
-    scalar = by_field.where("scalar")
-    removed = scalar.where("removes").select(*keys, F.lit("remove").alias("op"), "field", F.col("last_remove").alias("value"), F.lit(0).alias("phase"), "at")
-    was_set = scalar.where("last_op = 'set'").select(*keys, F.lit("set").alias("op"), "field", F.col("last_set").alias("value"), F.lit(1).alias("phase"), "at")
-    # fields that are never set in the batch hold several values: what is left of adds and removes
+    single = by_field.where(~several)
+    removed = single.where("removes").select(*keys, F.lit("remove").alias("op"), "field", F.col("last_remove").alias("value"), F.lit(0).alias("phase"), "at")
+    kept = by_field.where("was_set").where(several | (F.col("last_op") == "set"))
+    was_set = kept.select(*keys, F.lit("set").alias("op"), "field", F.col("last_set").alias("value"), F.lit(1).alias("phase"), "at")
+    # of each value the adds and removes after the field's last set: the net, which after a set is the last of them
     step = F.when(F.col("op") == "add", 1).otherwise(-1)
-    sets = scalar.select(*keys, "field").withColumn("_set", F.lit(True))
-    own = ops.where(~is_set).join(sets, [*keys, "field"], "left").where("_set IS NULL OR op = 'add'")  # a remove beside a set belongs to it
-    multi = own.groupBy(*keys, "field", "value").agg(F.sum(step).alias("net"), F.max(at).alias("at")).where("net <> 0")
-    many = multi.select(*keys, F.when(F.col("net") > 0, "add").otherwise("remove").alias("op"), "field", "value", F.lit(2).alias("phase"), "at")
+    sets = by_field.where("was_set").where(several).select(*keys, "field", "set_at")
+    own = ops.where(~is_set & several).join(sets, [*keys, "field"], "left").where(F.col("set_at").isNull() | (at > F.col("set_at")))
+    each = own.groupBy(*keys, "field", "value").agg(F.sum(step).alias("net"), F.max_by("op", at).alias("last"), F.max(at).alias("at"), F.max(F.col("set_at").isNotNull()).alias("after"))
+    left = F.when(F.col("after"), F.col("last")).when(F.col("net") > 0, "add").when(F.col("net") < 0, "remove")
+    many = each.select(*keys, left.alias("op"), "field", "value", F.lit(2).alias("phase"), "at").where("op IS NOT NULL")
     return removed.unionByName(was_set).unionByName(many)
 
 
-def dedup(ops: DataFrame) -> DataFrame:
-    """The batch reduced: a delete absorbs all else; of a scalar field the last operation wins, its remove first;
-    adds and removes of one value cancel; fan-outs of one query are joined and reduced in themselves."""
+def dedup(ops: DataFrame, spec: IndexSpec) -> DataFrame:
+    """The batch reduced: a delete absorbs all else; of a field of one value the last operation wins, its remove first;
+    of a field of several the last set and what comes after it, adds and removes of one value cancel; fan-outs of one
+    query are joined and reduced in themselves."""
+    multi = [f.name for f in spec.fields if f.multi]
     at = F.struct("seq", "pos")
     gone = ops.where("op = 'delete'").select("entity_id").distinct()
     rest = ops.join(gone, "entity_id", "left_anti")
-    fields = _net(rest.where("op IN ('set', 'remove', 'add')"), ["entity_id"])
+    fields = _net(rest.where("op IN ('set', 'remove', 'add')"), ["entity_id"], multi)
     nothing = F.lit(None).cast("string")
     deletes = gone.select("entity_id", F.lit("delete").alias("op"), nothing.alias("field"), nothing.alias("value"), F.lit(0).alias("phase"), F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).alias("pos")).alias("at"))
     plain = fields.unionByName(deletes).withColumns({"query": nothing, "nested": nothing})
     inner = rest.where("op = 'queryOpSet' AND query IS NOT NULL").select("entity_id", "query", F.struct(F.col("seq").alias("s"), F.col("pos").alias("p")).alias("outer"), F.posexplode(F.from_json("nested", _NESTED)).alias("n", "o"))
-    ordered = inner.select("entity_id", "query", F.col("outer.s").alias("seq"), (F.col("outer.p") * 100_000 + F.col("n")).cast("int").alias("pos"), "o.op", "o.field", "o.value")
-    reduced = _net(ordered, ["entity_id", "query"])
+    ordered = inner.select("entity_id", "query", F.col("outer.s").alias("seq"), F.struct(F.col("outer.p").alias("p"), F.col("n")).alias("pos"), "o.op", "o.field", "o.value")
+    reduced = _net(ordered, ["entity_id", "query"], multi).withColumn("at", F.struct(F.col("at.seq").alias("seq"), F.col("at.pos.p").alias("pos"), F.col("at.pos.n").alias("n")))
     joined = reduced.groupBy("entity_id", "query").agg(F.sort_array(F.collect_list(F.struct("phase", "at", F.struct("op", "field", "value").alias("o")))).alias("all"), F.min("at").alias("at"))
     fans = joined.select("entity_id", F.lit("queryOpSet").alias("op"), nothing.alias("field"), nothing.alias("value"), F.lit(3).alias("phase"), "at", "query", F.to_json(F.transform("all", lambda x: x["o"])).alias("nested"))
+    fans = fans.withColumn("at", F.struct(F.col("at.seq").alias("seq"), F.col("at.pos").alias("pos")))
     alive = ops.groupBy("entity_id").agg(F.max("creates_slot").alias("creates_slot"), F.min(at).alias("first"))
     return plain.unionByName(fans).join(alive, "entity_id")
 
@@ -223,19 +238,19 @@ def fan_out(table: DataFrame, reduced: DataFrame, spec: IndexSpec, most: int | N
     pairs = fan_matches(table, fans.select("fan", "query"), spec, most)
     each = fans.select("fan", "seq", "at_pos", F.posexplode(F.from_json("nested", _NESTED)).alias("n", "o"))
     return pairs.join(each, "fan").select(
-        F.col("id").alias("entity_id"), "seq", (F.col("at_pos").cast("long") * 1000 + F.col("n")).alias("pos"), F.lit(False).alias("creates_slot"), "o.op", "o.field", "o.value", F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("nested")
+        F.col("id").alias("entity_id"), "seq", (F.col("at_pos").cast("long") * F.lit(1 << 32) + F.col("n")).alias("pos"), F.lit(False).alias("creates_slot"), "o.op", "o.field", "o.value", F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("nested")
     )
 
 
 def apply(table: DataFrame, batch: DataFrame, spec: IndexSpec, now: int | None = None, most: int | None = None, create: bool = True) -> DataFrame:
     """One batch: direct operations first, then fan-outs against the table that these gave."""
     ops = valid(rescheduled(flat(batch), spec, now), spec)
-    reduced = cut(dedup(ops))  # read by several branches below
+    reduced = cut(dedup(ops, spec))  # read by several branches below
     direct = fold(table, reduced, spec, create)
     if not reduced.where("op = 'queryOpSet'").limit(1).count():
         return direct
     spread = rescheduled(fan_out(direct, reduced, spec, most), spec, now)
-    return fold(direct, cut(dedup(spread)), spec, create=False)
+    return fold(direct, cut(dedup(spread, spec)), spec, create=False)
 
 
 def fan_sizes(table: DataFrame, reduced: DataFrame, spec: IndexSpec) -> DataFrame:

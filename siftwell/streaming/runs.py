@@ -18,8 +18,8 @@ from .ops import apply
 class OpsRunner:
     """Applies an operation log to a stored table, each micro-batch once.
 
-    The batch's number is noted with the version that it gave; a batch that is run
-    again after a failure finds its number and does nothing.
+    The batch's number is part of the name of the version that it gave, so both appear at
+    once; a batch that is run again after a failure finds it and does nothing.
     """
 
     def __init__(self, store: TableStore, spec: IndexSpec, cursors: Cursors, name: str = "ops", clock: Callable[[], int] | None = None, most: int | None = None):
@@ -27,10 +27,10 @@ class OpsRunner:
 
     def batch(self, rows: DataFrame, number: int) -> None:
         last = self.cursors.get(self.name)
-        if last is not None and int(last) >= number:
+        if last is not None and int(last) >= number or self.store.has(f"{self.name}-{number}"):
             return
         table = self.store.load(self.spec)
-        self.store.save(apply(table, rows, self.spec, self.clock() if self.clock else None, self.most))
+        self.store.save(apply(table, rows, self.spec, self.clock() if self.clock else None, self.most), f"{self.name}-{number}")
         self.cursors.set(self.name, str(number))
 
     def start(self, spark: SparkSession, log: str, checkpoint: str, once: bool = False) -> StreamingQuery:

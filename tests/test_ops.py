@@ -40,7 +40,7 @@ def test_dedup_rules(spark):
         (4, [("delete",), ("set", "v", 3)]),
         (5, [("queryOpSet", None, None, "v eq 1", [("set", "k", "a")]), ("queryOpSet", None, None, "v eq 1", [("set", "k", "b")])]),
     )
-    got = sorted((r.entity_id, r.phase, r.op, r.field or "", r.value or "", r.nested or "") for r in op_batches.dedup(op_batches.flat(b)).collect())
+    got = sorted((r.entity_id, r.phase, r.op, r.field or "", r.value or "", r.nested or "") for r in op_batches.dedup(op_batches.flat(b), SPEC).collect())
     assert got == [
         (1, 0, "remove", "v", "0", ""),
         (1, 1, "set", "v", "2", ""),
@@ -71,11 +71,71 @@ def test_fold_like_one_by_one(spark):
     assert state(got) == {i: (a, b, sorted(c), d) for i, (a, b, c, d) in want.items()}
 
 
+def test_sets_adds_and_removes_of_several_values(spark):
+    t = table(spark, *[(i, 1, None, [9], None, 1) for i in range(1, 6)])
+    b = batch(
+        spark,
+        (1, [("set", "tags", [1, 2]), ("add", "tags", 5)]),
+        (2, [("remove", "tags", 2), ("set", "tags", [1, 2])]),
+        (3, [("set", "tags", [1, 2, 3]), ("remove", "tags", 1), ("remove", "tags", 2)]),
+        (4, [("add", "tags", 4), ("set", "tags", [7]), ("add", "tags", 8), ("remove", "tags", 8), ("add", "tags", 8)]),
+        (5, [("set", "tags", [1]), ("add", "tags", 2), ("set", "tags", [])]),
+    )
+    assert {k: v[2] for k, v in state(op_batches.apply(t, b, SPEC)).items()} == {1: [1, 2, 5], 2: [1, 2], 3: [3], 4: [7, 8], 5: []}
+
+
+def test_batches_like_one_by_one(spark):
+    """Sets of all fields, adds and removes after a set, deletes: as if each operation was applied by itself."""
+    r = random.Random(17)
+    start = {i: (i, "a", [i % 3], None) for i in range(14)}
+    rows, want, fresh, gone = [], {k: list(v) for k, v in start.items()}, set(), set()
+    for _ in range(150):
+        e = r.randrange(14)
+        kind = r.choice(["v", "k", "set", "add", "add", "remove", "remove", "delete"]) if r.random() < 0.97 else "delete"
+        if kind == "delete":
+            if r.random() < 0.8:
+                continue
+            rows.append((e, [("delete",)]))
+            gone.add(e)
+            continue
+        if kind in ("add", "remove") and e not in fresh:  # before a set, adds and removes of a value cancel; after it they follow each other
+            kind = "set"
+        value = r.randrange(5) if kind != "set" else sorted({r.randrange(5) for _ in range(2)})
+        field = kind if kind in ("v", "k") else "tags"
+        value = r.choice(["a", "b", None]) if kind == "k" else value
+        rows.append((e, [("set" if kind in ("v", "k") else kind, field, value)]))
+        now = want[e]
+        if kind == "v":
+            now[0] = value
+        elif kind == "k":
+            now[1] = value
+        elif kind == "set":
+            now[2] = value
+            fresh.add(e)
+        elif kind == "add":
+            now[2] = sorted({*now[2], value})
+        else:
+            now[2] = [x for x in now[2] if x != value]
+    got = state(op_batches.apply(table(spark, *[(i, *s, None) for i, s in start.items()]), batch(spark, *rows), SPEC))
+    assert got == {i: (a, b, sorted(c), d) for i, (a, b, c, d) in want.items() if i not in gone}
+
+
+def test_a_batch_that_was_saved_is_not_applied_again(spark, tmp_path):
+    """The writer dies after the table is saved and before the cursor is."""
+    store, cursors = TableStore(spark, f"file://{tmp_path}/t"), Cursors(spark, f"file://{tmp_path}/c")
+    store.save(table(spark, (1, 5, None, [], None, 5)))
+    runner = OpsRunner(store, SPEC, cursors)
+    runner.batch(batch(spark, (1, [("add", "tags", 3)])), 7)
+    again = OpsRunner(store, SPEC, Cursors(spark, f"file://{tmp_path}/lost"))
+    again.batch(batch(spark, (1, [("add", "tags", 4)])), 7)
+    assert state(store.load(SPEC)) == {1: (5, None, [3], None)} and store.versions() == [1, 2]
+
+
 def test_removes_nulls_and_computed(spark):
     t = table(spark, (1, 5, "a", [1, 2], 9, 9), (2, 5, "a", [], None, 5), (3, 1, None, [], None, 1))
     b = batch(spark, (1, [("remove", "k", "a"), ("remove", "tags", 1)]), (2, [("remove", "k", "zzz"), ("set", "v", None)]), (3, [("set", "at", 50), ("set", "tags", [4, 4])]), (77, [("remove", "tags", 1)]), (-3, [("set", "v", 1)]), (2**33, [("set", "v", 1)]))
     got = op_batches.apply(t, b, SPEC)
-    assert state(got) == {1: (5, None, [2], 9), 2: (0, "a", [], None), 3: (1, None, [4], 50)} or state(got).get(77) == (None, None, [], None)
+    assert state(got) == {1: (5, None, [2], 9), 2: (0, "a", [], None), 3: (1, None, [4], 50), 77: (None, None, [], None)}
     assert {r.id: r.hi for r in got.collect()}[3] == 50
 
 
@@ -86,7 +146,7 @@ def test_fan_out_sees_direct_writes(spark):
     assert got == {1: (1, "Aa", [1], None), 2: (5, "hit", [2, 8], None), 3: (5, "hit", [2, 3, 8], None)}
     few = state(op_batches.apply(t, b, SPEC, most=1))
     assert few[2][1] == "b" and few[1][0] == 1
-    sizes = op_batches.fan_sizes(t, op_batches.dedup(op_batches.flat(b)), SPEC)
+    sizes = op_batches.fan_sizes(t, op_batches.dedup(op_batches.flat(b), SPEC), SPEC)
     assert {r["query"]: r.n for r in sizes.collect()}["k eq aa"] == 1
 
 
