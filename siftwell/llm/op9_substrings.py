@@ -20,10 +20,11 @@ streamed through it.
   passage once.
 - Passages around seeds that more than ``COMMON`` documents have first run through
   an automaton of their own batch, so that of a large family of copies each batch
-  sends what is new in it once and not every member.
+  sends what is new in it once and not every member.  What is left of them goes to
+  a shard of the seed alone, so the first document of a family isn't met in one task.
 - A seed that more than ``HEAVY`` documents have sends single windows, dealt over
   several shards by their hash, so a line that a third of all documents share
-  isn't met in one task.
+  isn't met in one task.  Equal windows have equal seeds and hashes: they meet all the same.
 
 Documents with equal words are settled beforehand: all but the first lose every
 window.  Words are compared by 64-bit hashes.
@@ -42,7 +43,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import bucketed, unpack
@@ -52,12 +53,11 @@ WINDOW = 13
 #: Words of a seed; WINDOW - SEED + 1 must be a power of two.
 SEED = 6
 #: Documents that may share a seed before its windows are dealt one by one.
-HEAVY = 50_000
+HEAVY = 1_000
 #: Documents that may share a seed before their passages are matched within the batch.
 COMMON = 64
-#: Bounds of what is broadcast instead of shuffled, in rows.
-BROADCAST_SEEDS = 1_000_000
-BROADCAST_ROWS = 200_000
+#: Bound of what is broadcast instead of shuffled, in bytes.
+BROADCAST_BYTES = 24 << 20
 NO_DOC = 1 << 63
 
 
@@ -221,6 +221,12 @@ def seeded(docs: DataFrame) -> DataFrame:
     return stored(blobs.repartition(parts, "bucket").mapInArrow(reap, _ROW), "seeds")
 
 
+def _sided(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` (a stored table) marked for broadcast if its rows are few bytes; otherwise the join shuffles."""
+    size = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def runs(starts: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """First and last of each run of ascending numbers that are at most ``gap`` apart."""
     if not len(starts):
@@ -249,8 +255,7 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     Rows without words are word ranges (``start``, ``size``) that go already.
     """
     by_doc = stored(seeds.groupBy("doc").agg(F.collect_list(F.struct("seed", "owner", "docs")).alias("seeds")), "by-doc")
-    small = seeds.count() <= BROADCAST_SEEDS
-    joined = docs.join(F.broadcast(by_doc) if small else by_doc, "doc").select("doc", "text", "seeds")
+    joined = docs.join(_sided(by_doc, 48 + 24 * F.size("seeds")), "doc").select("doc", "text", "seeds")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -283,9 +288,13 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 first = at[w]
                 hit &= ~settled(hit & (many > COMMON), first, h, base, key, local, pending, out)
                 light = np.flatnonzero(hit & (many <= HEAVY))
-                for o in np.unique(owner[light]).tolist():
-                    for a, e in runs(first[light[owner[light] == o]], WINDOW):
-                        out.append((o, -1, *key, a - base, None, h[a : e + WINDOW].tobytes()))
+                salts = np.where(many[light] > COMMON, (mix(seed[w][light]) >> np.uint64(34)).astype(np.int64), -1)
+                order = np.lexsort((first[light], salts, owner[light]))
+                light, salts = light[order], salts[order]
+                edges = np.flatnonzero((np.diff(owner[light]) != 0) | (np.diff(salts) != 0)) + 1
+                for x, y in zip(np.append(0, edges).tolist(), np.append(edges, len(light)).tolist()):
+                    for a, e in runs(first[light[x:y]], WINDOW):
+                        out.append((int(owner[light[x]]), int(salts[x]), *key, a - base, None, h[a : e + WINDOW].tobytes()))
                 for k in np.flatnonzero(hit & (many > HEAVY)).tolist():
                     a = int(first[k])
                     salt = int(gram_hashes(h[a : a + WINDOW], WINDOW)[0] % np.uint64(-(-int(many[k]) // HEAVY) * 16))
@@ -344,7 +353,8 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text",
     cuts = matched(passages(docs, found.where("kind = 1")))
     gone = cuts.join(copies, ["doc", "fp_a", "fp_b"], "left_anti").unionByName(copies)
     by_doc = stored(gone.groupBy("doc").agg(F.collect_list(F.struct("fp_a", "fp_b", "cuts")).alias("rows")), "cuts")
-    joined = docs.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc, "doc", "left").select("doc", "text", "rows")
+    row_bytes = F.aggregate("rows", F.lit(48), lambda n, x: n + 32 + 16 * F.size(x["cuts"]))
+    joined = docs.join(_sided(by_doc, row_bytes), "doc", "left").select("doc", "text", "rows")
     names = [key, "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,11 +126,12 @@ def test_jaccard_of_rows_without_an_id_of_their_own(spark):
     assert found == Counter((text[k][0], n, least.get(c)) for k, (n, c) in brute.items())
 
 
-@pytest.mark.parametrize("common, heavy", [(64, 50_000), (2, 5)])
-def test_windows_removed(spark, monkeypatch, common, heavy):
+@pytest.mark.parametrize("common, heavy, small", [(64, 1_000, 1 << 26), (2, 5, 1 << 26), (2, 1_000, 0)])
+def test_windows_removed(spark, monkeypatch, common, heavy, small):
     monkeypatch.setattr(op9, "COMMON", common)
     monkeypatch.setattr(op9, "HEAVY", heavy)
-    rows = corpus(5)
+    monkeypatch.setattr(op9, "BROADCAST_BYTES", small)
+    rows = corpus(5) + [(1000 + i, t) for i, t in families(7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op9.deduplicated(docs).collect()}
     assert found == brute_windows(rows)
