@@ -39,8 +39,9 @@ BASE = ("short", "repeated")
 POLICIES: dict[tuple[str, int], tuple[str, ...]] = {
     ("default", 1): ("short", "repeated", "symbols"),
     ("default", 2): ("short", "repeated", "symbols", "shouting", "dup_lines", "long_words", "few_distinct"),
+    # without few_distinct: the share of distinct words falls with the length of any text, so it rejects clean books
+    ("default", 3): ("short", "repeated", "symbols", "shouting", "dup_lines", "long_words"),
     ("lenient", 1): ("short", "repeated"),
-    # default without few_distinct: the share of distinct words falls with the length of any text, so it rejects clean books
     ("corpus", 1): ("short", "repeated", "symbols", "shouting", "dup_lines", "long_words"),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_distinct_words")

@@ -49,14 +49,24 @@ def test_policies_and_ablations(spark):
     led = op1.ledger(docs).select("bits").cache()
     bits = [r.bits for r in led.collect()]
     whole = op1.mask("default", 2)
-    for r in op1.ablations(led).collect():
+    for r in op1.ablations(led, version=2).collect():
         bit = 1 << list(op1.RULES).index(r["rule"])
         assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(b & bit > 0 for b in bits), sum(b & whole == bit for b in bits), sum(b & whole & ~bit == 0 for b in bits))
-    assert op1.judged(docs).count() == sum(b & whole == 0 for b in bits)
+    assert op1.judged(docs, version=2).count() == sum(b & whole == 0 for b in bits)
+    assert op1.judged(docs).count() == sum(b & op1.mask() == 0 for b in bits)
     clash = spark.createDataFrame([(None, "x", 1, 2)], "doc_id long, text string, bits int, words int")
     assert op1.judged(clash, policy="lenient").count() == 0 and op1.ledger(clash.where("false")).count() == 0
 
 
+def test_very_long_clean_text_stays(spark):
+    r = random.Random(8)
+    book = " ".join(f"word{r.randrange(500)}" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, book)], "doc_id long, text string")
+    led = op1.ledger(docs).first()
+    assert led.bits == 1 << list(op1.RULES).index("few_distinct")
+    assert op1.judged(docs).count() == 1 and op1.judged(docs, version=2).count() == 0
+
+
 def test_secrets_like_regular_expressions(spark):
     plain = [(re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), 2, 6), (re.compile(rb"AKIA[A-Z0-9]+"), 0, 20), (re.compile(rb"[0-9a-f]+"), 0, 24)]
     brute = lambda d: sorted((m.start(), k, m.end()) for k, (r, g, n) in enumerate(plain) for m in r.finditer(d) if len(m[g]) >= n)
