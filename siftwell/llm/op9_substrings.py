@@ -25,6 +25,9 @@ streamed through it.
 - A seed that more than ``HEAVY`` documents have sends single windows, dealt over
   several shards by their hash, so a line that a third of all documents share
   isn't met in one task.  Equal windows have equal seeds and hashes: they meet all the same.
+  A document sends a window once, with the list of its places, however often it repeats it.
+
+Nothing is broadcast: both joins with the texts are shuffled merges at every size.
 
 Documents with equal words are settled beforehand: all but the first lose every
 window.  Words are compared by 64-bit hashes.
@@ -43,7 +46,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import bucketed, unpack
@@ -56,8 +59,6 @@ SEED = 6
 HEAVY = 1_000
 #: Documents that may share a seed before their passages are matched within the batch.
 COMMON = 64
-#: Bound of what is broadcast instead of shuffled, in bytes.
-BROADCAST_BYTES = 24 << 20
 NO_DOC = 1 << 63
 
 
@@ -221,12 +222,6 @@ def seeded(docs: DataFrame) -> DataFrame:
     return stored(blobs.repartition(parts, "bucket").mapInArrow(reap, _ROW), "seeds")
 
 
-def _sided(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """``df`` (a stored table) marked for broadcast if its rows are few bytes; otherwise the join shuffles."""
-    size = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def runs(starts: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """First and last of each run of ascending numbers that are at most ``gap`` apart."""
     if not len(starts):
@@ -243,19 +238,19 @@ def settled(asked: np.ndarray, first: np.ndarray, h: np.ndarray, base: int, key:
         seen = np.array(local.statistics(words, WINDOW)[WINDOW - 1 :]) >= WINDOW
         gone[np.searchsorted(first, a + np.flatnonzero(seen))] = True
         for x, y in runs(np.flatnonzero(seen), 1):
-            out.append((key[0], -2, *key, a + x - base, y - x + WINDOW, None))
+            out.append((key[0], -2, *key, [a + x - base], y - x + WINDOW, None))
         for x, y in runs(np.flatnonzero(~seen), 1):
             pending.append(words[x : y + WINDOW])
     return gone
 
 
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``owner``, ``salt``, ``doc``, ``fp_a``, ``fp_b``, ``start`` and ``words`` of each passage around repeated seeds.
+    """``owner``, ``salt``, ``doc``, ``fp_a``, ``fp_b``, ``starts`` and ``words`` of each passage around repeated seeds.
 
-    Rows without words are word ranges (``start``, ``size``) that go already.
+    Only single windows have several starts.  Rows without words are word ranges (start, ``size``) that go already.
     """
     by_doc = stored(seeds.groupBy("doc").agg(F.collect_list(F.struct("seed", "owner", "docs")).alias("seeds")), "by-doc")
-    joined = docs.join(_sided(by_doc, 48 + 24 * F.size("seeds")), "doc").select("doc", "text", "seeds")
+    joined = docs.join(by_doc.hint("merge"), "doc").select("doc", "text", "seeds")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
@@ -294,16 +289,22 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 edges = np.flatnonzero((np.diff(owner[light]) != 0) | (np.diff(salts) != 0)) + 1
                 for x, y in zip(np.append(0, edges).tolist(), np.append(edges, len(light)).tolist()):
                     for a, e in runs(first[light[x:y]], WINDOW):
-                        out.append((int(owner[light[x]]), int(salts[x]), *key, a - base, None, h[a : e + WINDOW].tobytes()))
+                        out.append((int(owner[light[x]]), int(salts[x]), *key, [a - base], None, h[a : e + WINDOW].tobytes()))
+                places: dict[bytes, list[int]] = {}
+                of_window: dict[bytes, int] = {}
                 for k in np.flatnonzero(hit & (many > HEAVY)).tolist():
-                    a = int(first[k])
-                    salt = int(gram_hashes(h[a : a + WINDOW], WINDOW)[0] % np.uint64(-(-int(many[k]) // HEAVY) * 16))
-                    out.append((int(owner[k]), salt, *key, a - base, None, h[a : a + WINDOW].tobytes()))
+                    body = h[first[k] : first[k] + WINDOW].tobytes()
+                    places.setdefault(body, []).append(int(first[k]) - base)
+                    of_window[body] = k
+                for body, starts in places.items():
+                    k = of_window[body]
+                    salt = int(gram_hashes(np.frombuffer(body, np.uint64), WINDOW)[0] % np.uint64(-(-int(many[k]) // HEAVY) * 16))
+                    out.append((int(owner[k]), salt, *key, starts, None, body))
             for a in range(0, len(out), 5_000):
                 columns = list(zip(*out[a : a + 5_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["owner", "salt", "doc", "fp_a", "fp_b", "start", "size", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()])], ["owner", "salt", "doc", "fp_a", "fp_b", "starts", "size", "words"])
 
-    return joined.mapInArrow(cut, "owner long, salt int, doc long, fp_a long, fp_b long, start int, size int, words binary")
+    return joined.mapInArrow(cut, "owner long, salt int, doc long, fp_a long, fp_b long, starts array<int>, size int, words binary")
 
 
 def matched(found: DataFrame) -> DataFrame:
@@ -314,9 +315,9 @@ def matched(found: DataFrame) -> DataFrame:
         shard, doc, automaton, pending = None, None, Automaton(), []
         for b in batches:
             out = []
-            for owner, salt, d, fp_a, fp_b, start, size, body in zip(*(c.to_pylist() for c in b.columns)):
+            for owner, salt, d, fp_a, fp_b, starts, size, body in zip(*(c.to_pylist() for c in b.columns)):
                 if body is None:
-                    out.append((d, fp_a, fp_b, start, size))
+                    out.append((d, fp_a, fp_b, starts[0], size))
                     continue
                 if (owner, salt) != shard:
                     shard, doc, automaton, pending = (owner, salt), d, Automaton(), []
@@ -332,14 +333,15 @@ def matched(found: DataFrame) -> DataFrame:
                     while to < n and seen[to] == seen[at]:
                         to += 1
                     if seen[at]:
-                        out.append((d, fp_a, fp_b, start + at, to - at + WINDOW - 1))
+                        for x, y in runs(np.array(starts) + at, WINDOW):
+                            out.append((d, fp_a, fp_b, x, y - x + to - at + WINDOW - 1))
                     else:
                         pending.append((words[at : to + WINDOW - 1], d))
                     at = to
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "fp_a", "fp_b", "start", "size"])
 
-    dealt = found.repartition(shuffle_parts(spark), "owner", "salt").sortWithinPartitions("owner", "salt", "doc", "fp_a", "start")
+    dealt = found.repartition(shuffle_parts(spark), "owner", "salt").sortWithinPartitions("owner", "salt", "doc", "fp_a", "starts")
     cuts = dealt.mapInArrow(stream, "doc long, fp_a long, fp_b long, start long, size long")
     return cuts.groupBy("doc", "fp_a", "fp_b").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
 
@@ -353,8 +355,7 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text",
     cuts = matched(passages(docs, found.where("kind = 1")))
     gone = cuts.join(copies, ["doc", "fp_a", "fp_b"], "left_anti").unionByName(copies)
     by_doc = stored(gone.groupBy("doc").agg(F.collect_list(F.struct("fp_a", "fp_b", "cuts")).alias("rows")), "cuts")
-    row_bytes = F.aggregate("rows", F.lit(48), lambda n, x: n + 32 + 16 * F.size(x["cuts"]))
-    joined = docs.join(_sided(by_doc, row_bytes), "doc", "left").select("doc", "text", "rows")
+    joined = docs.join(by_doc.hint("merge"), "doc", "left").select("doc", "text", "rows")
     names = [key, "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

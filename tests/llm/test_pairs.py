@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import op9_substrings as op9
 from siftwell.llm import op10_jaccard as op10
@@ -126,17 +127,30 @@ def test_jaccard_of_rows_without_an_id_of_their_own(spark):
     assert found == Counter((text[k][0], n, least.get(c)) for k, (n, c) in brute.items())
 
 
-@pytest.mark.parametrize("common, heavy, small", [(64, 1_000, 1 << 26), (2, 5, 1 << 26), (2, 1_000, 0)])
-def test_windows_removed(spark, monkeypatch, common, heavy, small):
+@pytest.mark.parametrize("common, heavy", [(64, 1_000), (2, 5), (2, 1_000)])
+def test_windows_removed(spark, monkeypatch, common, heavy):
     monkeypatch.setattr(op9, "COMMON", common)
     monkeypatch.setattr(op9, "HEAVY", heavy)
-    monkeypatch.setattr(op9, "BROADCAST_BYTES", small)
     rows = corpus(5) + [(1000 + i, t) for i, t in families(7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op9.deduplicated(docs).collect()}
     assert found == brute_windows(rows)
 
 
+def test_windows_that_documents_repeat(spark, monkeypatch):
+    """A window that many documents repeat is sent once by each, and goes at every place of theirs."""
+    monkeypatch.setattr(op9, "COMMON", 2)
+    monkeypatch.setattr(op9, "HEAVY", 4)
+    line = " ".join(f"w{k}" for k in range(13))
+    rows = [(k, " ".join(f"{line} own{k}x{i}" if i % 3 else f"{line} {line}" for i in range(20))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    passages = op9.passages(docs.select(F.col("doc_id").alias("doc"), "text"), op9.seeded(docs.select(F.col("doc_id").alias("doc"), "text")).where("kind = 1"))
+    sent = passages.where("words IS NOT NULL").groupBy("doc", "words").count()
+    assert sent.agg(F.max("count")).first()[0] == 1 and passages.agg(F.max(F.size("starts"))).first()[0] > 15
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op9.deduplicated(docs).collect()}
+    assert found == brute_windows(rows)
+
+
 def test_nulls_empty_and_extra_columns(spark):
     docs = spark.createDataFrame([(None, "a b c", 1, 2), (1, None, 1, 2)], "doc_id long, text string, doc long, component_id long")
     assert sorted((tuple(r) for r in op10.join_components(docs).collect()), key=str) == [(1, 0, 1), (None, 1, None)]
