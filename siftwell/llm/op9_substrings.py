@@ -27,10 +27,12 @@ streamed through it.
   isn't met in one task.  Equal windows have equal seeds and hashes: they meet all the same.
   A document sends a window once, with the list of its places, however often it repeats it.
 
-Nothing is broadcast: both joins with the texts are shuffled merges at every size.
+Both joins with the texts are shuffled merges at every size.
 
 Documents with equal words are settled beforehand: all but the first lose every
-window.  Words are compared by 64-bit hashes.
+window.  Words are compared by 64-bit hashes.  Groups with more than one in
+``GROUPS`` of all documents, hence fewer than ``GROUPS``, are told to the tasks by
+broadcast, so a group of copies that is a third of all rows isn't met in one task.
 
 Defined results: a null text has no words; texts of fewer than ``WINDOW`` words
 lose none; rows of one id are judged one by one, against smaller ids only; rows
@@ -59,6 +61,8 @@ SEED = 6
 HEAVY = 1_000
 #: Documents that may share a seed before their passages are matched within the batch.
 COMMON = 64
+#: Bound of the number of groups of copies that are broadcast.
+GROUPS = 100_000
 NO_DOC = 1 << 63
 
 
@@ -346,13 +350,26 @@ def matched(found: DataFrame) -> DataFrame:
     return cuts.groupBy("doc", "fp_a", "fp_b").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
 
 
+def later_copies(facts: DataFrame) -> DataFrame:
+    """The rows of ``facts`` whose print a smaller document has too."""
+    print_of = ["fp_a", "fp_b", "n"]
+    first = stored(facts.groupBy(*print_of).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1"), "copies")
+    most = max(HEAVY, -(-facts.count() // GROUPS))
+    large = first.where(F.col("docs") > most).select(*print_of, "first")  # fewer than GROUPS, whatever the input
+    rows = facts.join(F.broadcast(large), print_of, "left")
+    small = first.where(F.col("docs") <= most).select(*print_of, "first")
+    others = rows.where("first IS NULL").drop("first").join(small, print_of)
+    return rows.where("first IS NOT NULL").unionByName(others).where("doc > first").drop("first")
+
+
 def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` of each row (and ``kept``, its remaining words)."""
     docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     found = seeded(docs.where("doc IS NOT NULL"))
-    first = found.where("kind = 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc").alias("first"))
-    copies = found.where(f"kind = 0 AND n >= {WINDOW}").join(first, ["fp_a", "fp_b", "n"]).where("doc > first").select("doc", "fp_a", "fp_b", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("size"))).alias("cuts")).distinct()
+    facts = found.where(f"kind = 0 AND n >= {WINDOW}").select("doc", "fp_a", "fp_b", "n")
     cuts = matched(passages(docs, found.where("kind = 1")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("size")))
+    copies = later_copies(facts).select("doc", "fp_a", "fp_b", whole.alias("cuts")).distinct()
     gone = cuts.join(copies, ["doc", "fp_a", "fp_b"], "left_anti").unionByName(copies)
     by_doc = stored(gone.groupBy("doc").agg(F.collect_list(F.struct("fp_a", "fp_b", "cuts")).alias("rows")), "cuts")
     joined = docs.join(by_doc.hint("merge"), "doc", "left").select("doc", "text", "rows")
