@@ -134,6 +134,10 @@ class Index:
     def register_prefilter(self, name: str, filters: Iterable[Clause]) -> None:
         self.prefilters.register(name, filters, self.table, self.spec, self.clock())
 
+    def refresh_prefilters(self, every: int) -> list[str]:
+        """Refreshes the prefilters that are ``every`` seconds old or older."""
+        return self.prefilters.refresh_due(every, self.table, self.spec, self.clock())
+
     def refresh_prefilter(self, name: str) -> None:
         self.prefilters.refresh(name, self.table, self.spec, self.clock())
 

@@ -53,11 +53,13 @@ def page(table: DataFrame, query: Query, spec: IndexSpec, now: int | None = None
 
     The limit is capped by the index's page size.  An offset counts only without a
     cursor.  ``clamp_total`` caps limit and offset together, as older engines do.
+    Ranges that no prefilter stands for are guarded as the index says.
     """
     validate(query, spec)
     filters = query.filters
     if prefilters:
         table, filters = prefilters.apply(table, filters, spec)
+    guard_ranges(table, filters, spec)
     rows = matching(table, filters, spec, now)
     limit, offset = min(query.limit, spec.max_page_size), query.offset or 0
     if query.cursor:
@@ -103,8 +105,7 @@ class Result:
     @cached_property
     def total_matched(self) -> int:
         """Rows that the filters match, whatever the page."""
-        guard_ranges(self.table, self.query.filters, self.spec)
-        return total(self.table, self.query, self.spec, self.now)
+        return total(self.table, self.query, self.spec, self.now, self.prefilters)
 
     @cached_property
     def documents(self) -> DataFrame | None:
@@ -115,6 +116,10 @@ class Result:
         return shown(self.rows, self.spec, None if wanted is True else wanted, self.versions)
 
 
-def total(table: DataFrame, query: Query, spec: IndexSpec, now: int | None = None) -> int:
+def total(table: DataFrame, query: Query, spec: IndexSpec, now: int | None = None, prefilters: Prefilters | None = None) -> int:
     validate(query, spec)
-    return matching(table, query.filters, spec, now).count()
+    filters = query.filters
+    if prefilters:
+        table, filters = prefilters.apply(table, filters, spec)
+    guard_ranges(table, filters, spec)
+    return matching(table, filters, spec, now).count()

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..errors import FieldNotFound, InvalidValue, QueryTooExpensive
 from ..spec import FieldSpec, IndexSpec
 from .ast import And, Clause, Compare, Eq, Everything, Gt, Gte, In, InBucket, IsNotNull, IsNull, Lt, Lte, Not, NotEq, NotIn, Or, Query, Registered, Value, conjuncts
+from .lineage import cut
 
 MS_FROM = 100_000_000_000
 
@@ -279,9 +280,10 @@ def guard_ranges(table: DataFrame, filters: Iterable[Clause], spec: IndexSpec) -
 
 
 class Prefilters:
-    """Named clause sets whose matching ids are kept in a table; a query that contains a whole set uses it.
+    """Named clause sets whose matching ids are stored; a query that contains a whole set uses them.
 
-    At most ``MOST`` sets; the largest one that fits is substituted, then again
+    The ids are those of the last ``register`` or ``refresh``: later changes of the
+    table count from the next one on.  At most ``MOST`` sets; the largest one that fits is substituted, then again
     for what is left.
     """
 
@@ -289,6 +291,8 @@ class Prefilters:
 
     def __init__(self) -> None:
         self.sets: dict[str, tuple[frozenset[str], DataFrame]] = {}
+        self._clauses: dict[str, tuple[Clause, ...]] = {}
+        self._at: dict[str, int] = {}
 
     def register(self, name: str, filters: Iterable[Clause], table: DataFrame, spec: IndexSpec, now: int | None = None) -> None:
         parts = conjuncts(filters)
@@ -296,15 +300,23 @@ class Prefilters:
             raise InvalidValue("a prefilter needs clauses")
         if name not in self.sets and len(self.sets) >= self.MOST:
             raise InvalidValue(f"at most {self.MOST} prefilters")
-        ids = matching(table, parts, spec, now).select(spec.id)
+        ids = cut(matching(table, parts, spec, now).select(spec.id))
         self.sets[name] = (frozenset(map(str, parts)), ids)
-        self._clauses = {**getattr(self, "_clauses", {}), name: parts}
+        self._clauses[name], self._at[name] = tuple(parts), now or 0
 
     def refresh(self, name: str, table: DataFrame, spec: IndexSpec, now: int | None = None) -> None:
         self.register(name, self._clauses[name], table, spec, now)
 
+    def refresh_due(self, every: int, table: DataFrame, spec: IndexSpec, now: int) -> list[str]:
+        """Refreshes the sets that are ``every`` seconds old or older; their names."""
+        due = [n for n in self.list() if now - self._at[n] >= every]
+        for name in due:
+            self.refresh(name, table, spec, now)
+        return due
+
     def remove(self, name: str) -> None:
-        self.sets.pop(name)
+        for of in (self.sets, self._clauses, self._at):
+            of.pop(name)
 
     def list(self) -> list[str]:
         return sorted(self.sets)

@@ -156,6 +156,13 @@ def test_errors(table):
         validate(Query(sort=Sort("plain")), SPEC)
     with pytest.raises(QueryTooExpensive):
         guard_ranges(table, (Not(Gt("score", 1)),), SPEC.replace(max_range_values=3))
+    narrow, query = SPEC.replace(max_range_values=3), Query((Not(Gt("score", 1)),))
+    for ask in (lambda: page(table, query, narrow), lambda: Result(table, query, narrow).total_matched):
+        with pytest.raises(QueryTooExpensive):
+            ask()
+    sets = Prefilters()  # a range that a stored set stands for costs nothing
+    sets.register("s", query.filters, table, SPEC)
+    assert Result(table, query, narrow, prefilters=sets).total_matched == Result(table, query, SPEC).total_matched
     assert ids(matching(table, (Eq("plain", 1.0),), SPEC)) == [] and matches(table, 5, (Everything(),), SPEC) and not matches(table, 5_000, (), SPEC)
 
 
@@ -205,6 +212,17 @@ def test_prefilters(table):
     assert ids(matching(left, rest, SPEC)) == ids(matching(table, filters, SPEC))
     with pytest.raises(InvalidValue):
         sets.register("c", (), table, SPEC)
+    # ids are those of the last refresh, and a total goes through them as a page does
+    query, fewer = Query((Eq("plain", 1),)), table.where("id % 2 = 0")
+    whole = Result(table, query, SPEC).total_matched
+    sets = Prefilters()
+    sets.register("b", query.filters, fewer, SPEC, 100)
+    stale = Result(table, query, SPEC, prefilters=sets)
+    assert stale.total_matched == Result(fewer, query, SPEC).total_matched < whole
+    assert sets.refresh_due(60, table, SPEC, 159) == [] and sets.refresh_due(60, table, SPEC, 160) == ["b"]
+    assert Result(table, query, SPEC, prefilters=sets).total_matched == whole
+    sets.remove("b")
+    assert sets.list() == [] and sets.refresh_due(0, table, SPEC, 500) == []
 
 
 def test_canonical_text():
