@@ -32,7 +32,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids[_ID], "left_anti")
 
 
+def _pages_by_bytes(spark: SparkSession) -> None:
+    """Parquet writers look at a page's bytes after a few rows (by default after 100), since documents may be very long."""
+    spark.conf.set("parquet.page.size.row.check.min", "4")
+    spark.conf.set("parquet.block.size.row.check.min", "4")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _pages_by_bytes(spark)
     return op1_quality.judged(docs, policy="corpus")
 
 
