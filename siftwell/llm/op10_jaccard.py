@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 
 from .blobs import bucketed, pack, unpack
 from .components import components
-from .shared import Words, arrow_ready, gram_hashes, mix, ranges, shuffle_parts, steps, stored
+from .shared import Words, arrow_ready, frugal, gram_hashes, mix, ranges, shuffle_parts, steps, stored
 
 SHINGLE = 5
 NUM, DEN = 3, 4
@@ -74,6 +74,8 @@ PLACE_SHINGLES = 1 << 18
 GROUP_ROWS = 500
 #: Tables that are broadcast have at most so many bytes (as counted from their rows); larger ones are shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Parts of a bucket that are unpacked one after another.
+SPLIT = 4
 _STEP = 1 << 20
 
 
@@ -262,13 +264,13 @@ def indexed(docs: DataFrame) -> DataFrame:
                     blobs.append(b"H" + pack(sig[hot], doc[row[hot]], tag[hot]))
                     few = ~hot | (rank < 2)
                     sig, row, tag = sig[few], row[few], tag[few]
-                for k, blob in bucketed(sig, doc[row], tag, parts):
-                    buckets.append(k)
-                    blobs.append(b"S" + blob)
+                for k, blob in bucketed(sig, doc[row], tag, parts * SPLIT):
+                    buckets.append(k // SPLIT)
+                    blobs.append(b"S" + bytes([k % SPLIT]) + blob)
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if blob[:1] == b"F":
@@ -276,9 +278,9 @@ def indexed(docs: DataFrame) -> DataFrame:
                 elif blob[:1] == b"H":
                     yield from repeated(*unpack(blob[1:]))
                 else:
-                    held.setdefault(bucket, []).append(blob[1:])
-        for bucket in sorted(held):
-            sig, doc, tag = (np.concatenate(x) for x in zip(*map(unpack, held.pop(bucket))))
+                    held.setdefault((bucket, blob[1]), []).append(blob[2:])
+        for part in sorted(held):
+            sig, doc, tag = (np.concatenate(x) for x in zip(*map(unpack, held.pop(part))))
             order = np.argsort(sig)
             sig, doc, tag = sig[order], doc[order], tag[order]
             same = sig[1:] == sig[:-1]
@@ -290,8 +292,8 @@ def indexed(docs: DataFrame) -> DataFrame:
             part = slice(a, a + 100_000)
             yield _batch(len(sig[part]), kind=np.full(len(sig[part]), 2), sig=sig[part].view(np.int64), doc=doc[part], tag=tag[part])
 
-    blobs = docs.mapInArrow(sign, "bucket int, blob binary")
-    return stored(blobs.repartition(parts, "bucket").mapInArrow(gather, _ROW), "signatures")
+    blobs = docs.mapInArrow(frugal(sign), "bucket int, blob binary")
+    return stored(blobs.repartition(parts, "bucket").mapInArrow(frugal(gather), _ROW), "signatures")
 
 
 def ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,9 +363,9 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         if out:
             yield _rows(out, _FOUND)
 
-    found = texts.join(F.broadcast(goals) if small else goals, "doc").select("doc", "text", "goals").mapInArrow(send, "block long, place int, other int, a long, body binary")
+    found = texts.join(F.broadcast(goals) if small else goals, "doc").select("doc", "text", "goals").mapInArrow(frugal(send), "block long, place int, other int, a long, body binary")
     dealt = found.repartition(shuffle_parts(spark), "block", "place").sortWithinPartitions("block", "place", "other")
-    return stored(dealt.mapInArrow(compare, "a long, b long, inter long, linked boolean"), "verified")
+    return stored(dealt.mapInArrow(frugal(compare), "a long, b long, inter long, linked boolean"), "verified")
 
 
 _SENT = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("other", pa.int32()), ("a", pa.int64()), ("body", pa.binary())])
@@ -388,6 +390,14 @@ def _sums(doc: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int
         yield k, zstandard.ZstdCompressor(level=1).compress(np.diff(doc[at], prepend=0).tobytes() + np.ascontiguousarray(counts[at].T).tobytes())
 
 
+def _totals(docs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each document once, with the sum of its counts."""
+    who, at = np.unique(np.concatenate(docs), return_inverse=True)
+    total = np.zeros((len(who), counts[0].shape[1]), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return who, total
+
+
 def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The second partition of the universe, over the documents of ``ids`` (``doc``, ``crowd``): each rare shingle is a segment, the frequent ones form one.
 
@@ -409,17 +419,18 @@ def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             rank, count = ranks(sets[order])
             known = np.union1d(known, sets[order[count > RARE]])
             order = order[rank <= RARE]  # one more than a rare shingle has
-            found = list(bucketed(sets[order], doc[order], crowd[order], parts))
+            found = list(bucketed(sets[order], doc[order], crowd[order], parts * SPLIT))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // SPLIT for k, _ in found], pa.int32()), pa.array([bytes([k % SPLIT]) + x for k, x in found], pa.binary())], ["bucket", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        for bucket in sorted(held):
-            token, doc, crowd = (np.concatenate(x) for x in zip(*map(unpack, held.pop(bucket))))
+                held.setdefault((bucket, blob[0]), []).append(blob[1:])
+        docs, sums = [], []  # of a bucket's parts
+        for part in sorted(held):
+            token, doc, crowd = (np.concatenate(x) for x in zip(*map(unpack, held.pop(part))))
             order = np.lexsort((doc, token))
             token, doc, crowd = token[order], doc[order], crowd[order]
             of = ranks(token)[1]
@@ -427,10 +438,13 @@ def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
             token, doc, crowd = token[rare], doc[rare], crowd[rare]
             level = np.ceil(np.log2(of[rare])).astype(np.int64)
             who, at = np.unique(doc, return_inverse=True)
-            if len(who):
-                counts = np.bincount(at * wide + level, minlength=len(who) * wide).reshape(-1, wide)
-                sums = list(_sums(who, counts, parts))
-                yield _rows([(k, x, None, None, None, None) for k, x in sums], _RARE)
+            docs.append(who)
+            sums.append(np.bincount(at * wide + level, minlength=len(who) * wide).reshape(-1, wide))
+            if not any(p[0] == part[0] for p in held):
+                who, counts = _totals(docs, sums)
+                docs, sums = [], []
+                if len(who):
+                    yield _rows([(k, x, None, None, None, None) for k, x in _sums(who, counts, parts)], _RARE)
             some = crowd > 0
             token, doc, level = token[some], doc[some], level[some]
             size = ranks(token)[1]
@@ -453,16 +467,14 @@ def rarities(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 n = len(raw) // (wide + 1)
                 docs.append(np.cumsum(raw[:n]))
                 counts.append(raw[n:].reshape(wide, n).T)
-        who, at = np.unique(np.concatenate(docs), return_inverse=True)
-        total = np.zeros((len(who), wide), np.int64)
-        np.add.at(total, at, np.concatenate(counts))
+        who, total = _totals(docs, counts)
         for k in range(0, len(who), 50_000):
             upto = np.cumsum(total[k : k + 50_000], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(who[k : k + 50_000]), pa.array(list(upto), pa.list_(pa.int64()))], ["doc", "upto"])
 
-    blobs = texts.join(_sided(ids, 24), "doc").select("doc", "text", "crowd").mapInArrow(scatter, "bucket int, blob binary")
-    found = stored(blobs.repartition(parts, "bucket").mapInArrow(count, "bucket int, blob binary, id long, level int, times long, docs array<long>"), "rarities")
-    sums = found.where("bucket IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket").mapInArrow(add, "doc long, upto array<long>")
+    blobs = texts.join(_sided(ids, 24), "doc").select("doc", "text", "crowd").mapInArrow(frugal(scatter), "bucket int, blob binary")
+    found = stored(blobs.repartition(parts, "bucket").mapInArrow(frugal(count), "bucket int, blob binary, id long, level int, times long, docs array<long>"), "rarities")
+    sums = found.where("bucket IS NOT NULL").select("bucket", "blob").repartition(parts, "bucket").mapInArrow(frugal(add), "doc long, upto array<long>")
     return sums, found.where("bucket IS NULL").select("id", "level", "times", "docs")
 
 

@@ -22,7 +22,8 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_WORDS, Words, arrow_ready, covered, ranges, steps, stored
+from .shared import ALNUM_WORDS, Words, arrow_ready, covered, frugal, ranges, steps, stored
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -40,6 +41,8 @@ SEGMENT_BYTES = 4 << 20
 #: Bytes of item text that one search takes to the tasks at once.
 BLOCK_BYTES = 2 << 20
 
+_HITS = "row_id long, doc_id long, n_words long, hits binary, items array<string>"
+_RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _SEGMENT = "row_ids array<long>, doc_ids array<long>, n_words array<int>, terms array<string>, sizes array<int>, postings binary"
 
 
@@ -73,7 +76,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 ["row_ids", "doc_ids", "n_words", "terms", "sizes", "postings"],
             )
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(segments, _SEGMENT)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(frugal(segments), _SEGMENT)
 
 
 class Segment:
@@ -145,11 +148,11 @@ def windows(texts: list[str | None]) -> tuple[list[str], dict[int, tuple[np.ndar
     return coded.dictionary.to_pylist(), by_size
 
 
-def search(index: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
-    """Per document: ``hits`` (its hit word numbers, packed bits), ``items`` (ids of items with a window in it)."""
+def search(spark: SparkSession, items: list[tuple[str, str | None]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What finds, in segments, per document: ``hits`` (its hit word numbers, packed bits), ``items`` (ids of items with a window in it)."""
     ids = [i for i, _ in items]
     terms, by_size = windows([t for _, t in items])
-    sent = index.sparkSession.sparkContext.broadcast((ids, terms, by_size))
+    sent = spark.sparkContext.broadcast((ids, terms, by_size))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, terms, by_size = sent.value
@@ -174,7 +177,7 @@ def search(index: DataFrame, items: list[tuple[str, str | None]]) -> DataFrame:
                 ["row_id", "doc_id", "n_words", "hits", "items"],
             )
 
-    return index.mapInArrow(look, "row_id long, doc_id long, n_words long, hits binary, items array<string>")
+    return look
 
 
 def proximity(index: DataFrame, queries: dict[str, list[str]], slop: int) -> DataFrame:
@@ -208,20 +211,14 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[st
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document with its hit words and the items found in it."""
     index = stored(build_index(docs, key, text), "postings")
-    parts = [search(index, block) for block in item_blocks(items, item_key, item_text)]
-    if len(parts) > 1:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.union(p)
-        found = found.groupBy("row_id", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    else:
-        found = parts[0].withColumn("hits", F.array("hits"))
+    looks = [search(index.sparkSession, block) for block in item_blocks(items, item_key, item_text)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_hit, sha = [], []
             for hits, items in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in hits])).sum()))
+                several = hits if isinstance(hits, list) else [hits]
+                n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in several])).sum()))
                 sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
             n = pa.array(n_hit, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +226,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").withColumnRenamed("doc_id", key)
+    if len(looks) == 1:  # in one pass: two would keep twice the Python workers
+        only = looks[0]
+        return index.mapInArrow(frugal(lambda batches: digest(only(batches))), _RESULT).withColumnRenamed("doc_id", key)
+    found = reduce(DataFrame.union, [index.mapInArrow(frugal(look), _HITS) for look in looks])
+    found = found.groupBy("row_id", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    return found.mapInArrow(frugal(digest), _RESULT).withColumnRenamed("doc_id", key)
 
 
 def op3_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

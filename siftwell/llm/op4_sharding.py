@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, shuffle_parts, stored
+from .shared import frugal, mix, shuffle_parts, stored
 
 ROUNDS = 4
 SHARDS = 8
@@ -73,7 +73,8 @@ def numbered(df: DataFrame, by: list[str], name: str = "row_number") -> DataFram
     for p, n in sizes:
         offsets.append((p, total))
         total += n
-    offset = df.sparkSession.createDataFrame(offsets, f"{part} int, {off} long")
+    # as an Arrow table: rows of a list would start Python workers of another kind, which stay
+    offset = df.sparkSession.createDataFrame(pa.table({part: pa.array([p for p, _ in offsets], pa.int32()), off: pa.array([n for _, n in offsets], pa.int64())}))
     out = kept.join(F.broadcast(offset), part).withColumn(name, F.col(off) + F.col(pos)).drop(part, pos, off)
     out.total_rows = total
     return out
@@ -89,7 +90,7 @@ def shards(df: DataFrame, by: list[str], k: int = SHARDS, seed: int = SEED) -> D
             at = permute(batch.column("row_number").to_numpy(), n, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array((at % k).astype(np.int32)), pa.array(at // k)], [*batch.schema.names, "place", "shard", "slot"])
 
-    return rows.mapInArrow(place, T.StructType([*schema.fields, T.StructField("place", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    return rows.mapInArrow(frugal(place), T.StructType([*schema.fields, T.StructField("place", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

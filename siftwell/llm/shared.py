@@ -6,10 +6,11 @@ here are ASCII, so cutting bytes and cutting code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,24 @@ def arrow_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; after each task what it freed goes back, since workers stay, idle too, and count as the executor's memory."""
+
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return ran
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that each has about ``most`` bytes of text or one row; nulls in ``text`` become empty."""
     for batch in batches:
@@ -100,7 +119,7 @@ class Words:
         if lower:
             data = LOWER[data]
         self.data, self.offs = data, offs
-        inside = kind[data]
+        self.inside = inside = kind[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[offs] = True
         before = np.concatenate(([False], inside[:-1])) if len(data) else inside
@@ -122,7 +141,8 @@ class Words:
 
     def strings(self) -> pa.Array:
         """The words as an Arrow column."""
-        return ranges_to_strings(self.data, self.starts, self.ends)
+        to = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(self), [None, pa.py_buffer(to), pa.py_buffer(self.data[self.inside])])
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word; equal words have equal hashes everywhere."""
@@ -144,7 +164,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of an odd number modulo 2^64, and those of its inverse."""
     if len(_powers[0]) < n:
-        n = max(n, STEP_BYTES + 1024)
+        n = max(n + n // 16, (1 << 20) + 1024)
         for k, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
             table = np.full(n, base, np.uint64)
             table[0] = 1
